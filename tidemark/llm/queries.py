@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import language, mixing, oracles, pieces, sharding, urls, vocab
+from tidemark.llm import language, licenses, lines, mixing, near_text, oracles, pieces, sharding, urls, vocab
 from tidemark.llm.common import utf8_bytes
 
 SHARDS = 8
@@ -28,6 +28,11 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op2_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four-word shingles, by the contract."""
+    return near_text.components(_read(spark, sf_dir, "documents", "doc_id", "text"), 4).drop("at")
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents", "doc_id", "text", "lang")
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
@@ -58,7 +63,19 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: its lines, those removed, and the MD5 of the text that is left."""
+    docs = _read(spark, sf_dir, "documents", "doc_id", "text")
+    return lines.dedup_lines(docs).select("doc_id", "n_lines", "n_removed", F.md5("text").alias("text_md5"))
+
+
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: how many templates it holds, and their names."""
+    out = licenses.annotate(_read(spark, sf_dir, "documents", "doc_id", "text"))
+    return out.select("doc_id", F.size("licenses").cast("long").alias("n_licenses"), F.array_join("licenses", ",").alias("licenses"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_sharding, op3_language_id, op4_sentencepiece, op6_url_filter, op7_mixing)
+    f.__name__: f for f in (op1_sharding, op2_minhash_dedup, op3_language_id, op4_sentencepiece, op6_url_filter, op7_mixing, op9_line_dedup, op10_license_scan)
 }
 ORACLES = oracles.SQL
