@@ -50,6 +50,12 @@ class Scratch:
         jvm.System.gc()  # lets Spark's cleaner remove the shuffle files behind them
 
 
+def once(expr: Column, name: str) -> Column:
+    """The expression in a select, computed once a row: as a generator of one row it is not copied into the
+    lambdas that use it."""
+    return F.inline(F.array(F.struct(expr.alias(name))))
+
+
 def utf8_bytes(text: Column) -> Column:
     return F.coalesce(F.octet_length(text).cast("long"), F.lit(0).cast("long"))
 

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import lower_ascii
+from tidemark.llm.common import lower_ascii, once
 
 SHINGLE, BANDS, SHARE = 5, 64, 80
 #: Most templates a library may have; it is broadcast.
@@ -74,14 +74,13 @@ def scan(df: DataFrame, templates: dict[str, str] | None = None) -> DataFrame:
         by.setdefault(class_of(len(ts)), set()).update(ts)
     literal = lambda xs: F.array(*[F.lit(x) for x in sorted(xs)])
     rk = F.concat_ws("-", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.md5("text"))
-    # The text is split before its key is made; only rows that pass the filter get one.
-    hashed = df.where("text is not null").select("doc_id", "text", words_of(F.col("text")).alias("w")).withColumn("hs", shingles_of("w"))
+    hashed = df.where("text is not null").select("doc_id", "text", once(words_of(F.col("text")), "w")).select("doc_id", "text", once(shingles_of("w"), "hs"))
     hashed = hashed.where(F.arrays_overlap("hs", literal({x for ts in by.values() for x in ts}))) if by else hashed.where("false")
     hashed = hashed.select("doc_id", rk.alias("_tm_rk"), "hs")
     kinds = F.array(*[F.struct(F.lit(c).alias("c"), literal(xs).alias("all")) for c, xs in sorted(by.items())]) if by else F.array().cast("array<struct<c:int,all:array<bigint>>>")
     wins = hashed.select("*", F.explode(kinds).alias("k"))
     wins = wins.select("doc_id", "_tm_rk", "k", "hs", F.explode(F.sequence(F.lit(1), F.size("hs"), F.col("k.c"))).alias("start"))
-    wins = wins.select("doc_id", "_tm_rk", "k", F.slice("hs", F.col("start"), 2 * F.col("k.c")).alias("win")).where(F.arrays_overlap("win", "k.all"))
+    wins = wins.select("doc_id", "_tm_rk", "k", once(F.slice("hs", F.col("start"), 2 * F.col("k.c")), "win")).where(F.arrays_overlap("win", "k.all"))
     wins = wins.withColumn("bands", bands_of(F.col("win"))).select("doc_id", "_tm_rk", F.col("k.c").alias("c"), "win", F.posexplode("bands").alias("b", "v"))
     index = spark.createDataFrame([(n, class_of(len(ts)), ts) for n, ts in known.items()], "name string, c int, ts array<bigint>")
     index = index.select("name", "c", "ts", F.posexplode(bands_of(F.col("ts"))).alias("b", "v"))
