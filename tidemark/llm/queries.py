@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import language, licenses, lines, mixing, near_text, oracles, pieces, sharding, urls, vocab
+from tidemark.llm import curves, language, licenses, lines, mixing, near_text, near_vectors, oracles, pieces, sharding, urls, vocab
 from tidemark.llm.common import utf8_bytes
 
 SHARDS = 8
@@ -47,6 +47,10 @@ def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode(docs, vocab.load(), "doc_id", keep_ids=False)
 
 
+def op5_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return curves.nearest(_read(spark, sf_dir, "embeddings", "vec_id", "embedding"), F.col("vec_id") % 50 == 0, 5)
+
+
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A page is labelled by the document its path's first number names: bad if toxic or of quality 0."""
     pages = _read(spark, sf_dir, "pages", "page_id", "url")
@@ -63,6 +67,10 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors.links(_read(spark, sf_dir, "embeddings", "vec_id", "embedding"))
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: its lines, those removed, and the MD5 of the text that is left."""
     docs = _read(spark, sf_dir, "documents", "doc_id", "text")
@@ -76,6 +84,6 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_sharding, op2_minhash_dedup, op3_language_id, op4_sentencepiece, op6_url_filter, op7_mixing, op9_line_dedup, op10_license_scan)
+    f.__name__: f for f in (op1_sharding, op2_minhash_dedup, op3_language_id, op4_sentencepiece, op5_ann, op6_url_filter, op7_mixing, op8_embedding_dedup, op9_line_dedup, op10_license_scan)
 }
 ORACLES = oracles.SQL
