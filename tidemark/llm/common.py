@@ -31,10 +31,11 @@ class Scratch:
     """
 
     def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.root, self.paths = spark, f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}", {}
+        self.spark, self.root, self.paths, self.count = spark, f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}", {}, 0
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
-        path = f"{self.root}/{name}-{len(self.paths)}"
+        self.count += 1
+        path = f"{self.root}/{name}-{self.count}"
         df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         self.paths[id(out)] = (path, out)

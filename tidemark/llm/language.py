@@ -169,11 +169,11 @@ def learn(df: DataFrame, vocab: Vocabulary, docs: int = SAMPLE_DOCS, words: int
     return fit(vocab, counts)
 
 
-def identify(df: DataFrame, model: Model) -> DataFrame:
-    """df's columns but its text, with lang_pred and score."""
-    spark, keep = df.sparkSession, [c for c in df.columns if c != "text"]
-    shared = spark.sparkContext.broadcast(model)
-    schema = df.select(*keep, F.lit("").alias("lang_pred"), F.lit(0.0).alias("score")).schema
+def identify(df: DataFrame, model: Model, keep: list[str] | None = None) -> DataFrame:
+    """``keep`` (all but the text, by default) with lang_pred and score."""
+    keep = [c for c in df.columns if c != "text"] if keep is None else keep
+    shared = df.sparkSession.sparkContext.broadcast(model)
+    schema = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep) + ", lang_pred string, score double"
 
     def run(batches):
         m = shared.value
@@ -182,4 +182,4 @@ def identify(df: DataFrame, model: Model) -> DataFrame:
             cols = [b.column(c) for c in keep] + [pa.array([s[0] for s in said], pa.string()), pa.array([s[1] for s in said], pa.float64())]
             yield pa.RecordBatch.from_arrays(cols, names=[*keep, "lang_pred", "score"])
 
-    return df.select(*keep, "text").mapInArrow(run, schema)
+    return df.select(*keep, *["text"] * ("text" not in keep)).mapInArrow(run, schema)

@@ -6,7 +6,8 @@ anywhere else is kept at its first place (least doc_id, then key, then line) and
 its bytes have been compared with the first place's.
 
 Hashes are counted first, without text; only chunks whose hash repeats carry their text on. Hot chunks are
-counted by partial sums, and the comparison's join can be split.
+counted by partial sums, and the comparison's join can be split. Joins are merges of shuffled sides at every
+size, so that disk use grows as the input does.
 
 Null texts stay null; an empty text is one empty line. Rows alike in doc_id and text are one document: all
 keep or lose the same lines. Chunks under ``MIN_BYTES`` are left alone. Extra columns pass through.
@@ -48,10 +49,10 @@ def repeated_spans(df: DataFrame, scratch: Scratch) -> DataFrame:
     found = line_chunks(df.select("doc_id", "text")).withColumn("h", F.unhex(F.md5("chunk")))
     place = F.struct("doc_id", "rk", "start")
     many = found.groupBy("h").agg(F.count("*").alias("n"), F.min(place).alias("first")).where("n > 1").select("h", "first")
-    again = found.join(many, "h").select("h", "rk", "start", "size", "chunk", place.eqNullSafe(F.col("first")).alias("is_first"))
+    again = found.join(many.hint("merge"), "h").select("h", "rk", "start", "size", "chunk", place.eqNullSafe(F.col("first")).alias("is_first"))
     again = scratch.keep(again, "again")
     first = again.where("is_first").groupBy("h").agg(F.min("chunk").alias("kept"))
-    same = again.where("not is_first").join(first, "h").where("chunk = kept")
+    same = again.where("not is_first").join(first.hint("merge"), "h").where("chunk = kept")
     return same.groupBy("rk").agg(F.collect_set(F.struct("start", "size")).alias("cut"))
 
 
@@ -59,7 +60,7 @@ def dedup_lines(df: DataFrame) -> DataFrame:
     """df with its text less the repeated chunks, and n_lines and n_removed."""
     scratch = Scratch(df.sparkSession, "lines")
     cuts = scratch.keep(repeated_spans(df, scratch), "cuts").select(F.col("rk").alias("_tm_rk"), F.col("cut").alias("_tm_cut"))
-    rows = df.withColumn("_tm_rk", row_key()).join(cuts, "_tm_rk", "left")
+    rows = df.withColumn("_tm_rk", row_key()).join(cuts.hint("merge"), "_tm_rk", "left")
     rows = rows.withColumn("_tm_lines", F.split("text", "\n", -1))
     gone = lambda i: F.exists(F.col("_tm_cut"), lambda s: (i + 1 >= s["start"]) & (i + 1 < s["start"] + s["size"]))
     left = F.filter(F.col("_tm_lines"), lambda x, i: ~gone(i))

@@ -86,4 +86,4 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_sharding, op2_minhash_dedup, op3_language_id, op4_sentencepiece, op5_ann, op6_url_filter, op7_mixing, op8_embedding_dedup, op9_line_dedup, op10_license_scan)
 }
-ORACLES = oracles.SQL
+ORACLES = oracles.sql(URL_RULES)
