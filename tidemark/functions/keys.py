@@ -27,8 +27,8 @@ def name_key(name: Column) -> Column:
 
 
 def canonical_name(name: Column) -> Column:
-    """Rust v0 names without crate disambiguators; other names as they are."""
-    return F.when(name.startswith("_R"), F.regexp_replace(name, r"Cs[0-9A-Za-z]*_(?=[0-9])", "C")).otherwise(name)
+    """Rust v0 names with the crate disambiguators emptied; other names as they are."""
+    return F.when(name.startswith("_R"), F.regexp_replace(name, r"Cs[0-9A-Za-z]*_(?=[0-9])", "Cs_")).otherwise(name)
 
 
 def masked_hash(text: Column) -> Column:
