@@ -31,15 +31,15 @@ def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     model = language.learn(docs.select("text", "lang"), vocab.load())
     if not model.langs:
         return docs.where(F.regexp_like("text", F.lit(r"\p{L}")))
-    judged = language.identify(docs, model, keep=docs.columns)
-    return _back(judged.where((F.col("lang_pred") != language.UND) & (F.col("score") >= MIN_SCORE)).withColumn("lang", F.col("lang_pred")), docs)
+    judged = language.identify(docs, model, keep=docs.columns, prefix="_tm_")
+    return _back(judged.where((F.col("_tm_lang_pred") != language.UND) & (F.col("_tm_score") >= MIN_SCORE)).withColumn("lang", F.col("_tm_lang_pred")), docs)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Removes repeated multi-line chunks; a document of which nothing but white space is left goes."""
-    cut = lines.dedup_lines(docs)
-    cut = cut.where((F.col("n_removed") == 0) | F.regexp_like("text", F.lit(r"\S")))
-    return _back(cut.withColumn("n_chars", F.when(F.col("n_removed") == 0, F.col("n_chars")).otherwise(F.length("text").cast("long"))), docs)
+    cut = lines.dedup_lines(docs, "_tm_")
+    cut = cut.where((F.col("_tm_n_removed") == 0) | F.regexp_like("text", F.lit(r"\S")))
+    return _back(cut.withColumn("n_chars", F.when(F.col("_tm_n_removed") == 0, F.col("n_chars")).otherwise(F.length("text").cast("long"))), docs)
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,8 +49,8 @@ def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix uses it."""
-    mixed = mixing.mix(docs, F.array("source"), mixing.seeded_key()).where("taken > 0")
-    return _back(mixed.withColumn("_use", F.explode(F.sequence(F.lit(1).cast("long"), "uses"))), docs)
+    mixed = mixing.mix(docs, F.array("source"), mixing.seeded_key(), prefix="_tm_").where("_tm_taken > 0")
+    return _back(mixed.withColumn("_tm_use", F.explode(F.sequence(F.lit(1).cast("long"), "_tm_uses"))), docs)
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -169,17 +169,17 @@ def learn(df: DataFrame, vocab: Vocabulary, docs: int = SAMPLE_DOCS, words: int
     return fit(vocab, counts)
 
 
-def identify(df: DataFrame, model: Model, keep: list[str] | None = None) -> DataFrame:
-    """``keep`` (all but the text, by default) with lang_pred and score."""
+def identify(df: DataFrame, model: Model, keep: list[str] | None = None, prefix: str = "") -> DataFrame:
+    """``keep`` (all but the text, by default) with lang_pred and score (their names after ``prefix``)."""
     keep = [c for c in df.columns if c != "text"] if keep is None else keep
     shared = df.sparkSession.sparkContext.broadcast(model)
-    schema = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep) + ", lang_pred string, score double"
+    schema = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep) + f", {prefix}lang_pred string, {prefix}score double"
 
     def run(batches):
         m = shared.value
         for b in batches:
             said = m.judge(b.column("text").to_pylist())
             cols = [b.column(c) for c in keep] + [pa.array([s[0] for s in said], pa.string()), pa.array([s[1] for s in said], pa.float64())]
-            yield pa.RecordBatch.from_arrays(cols, names=[*keep, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays(cols, names=[*keep, f"{prefix}lang_pred", f"{prefix}score"])
 
     return df.select(*keep, *["text"] * ("text" not in keep)).mapInArrow(run, schema)

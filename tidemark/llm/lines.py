@@ -1,13 +1,15 @@
 """Line dedup by content-defined chunks. [native]
 
-A text's lines are hashed; a rolling hash over the last ``WINDOW`` line hashes decides after which lines a
-chunk ends, so an insertion moves only the boundaries beside it. A chunk of two lines or more that occurs
-anywhere else is kept at its first place (least doc_id, then key, then line) and removed elsewhere, once
-its bytes have been compared with the first place's.
+A text's lines are hashed; a rolling hash over WINDOW line hashes ends a chunk wherever it is less than at the
+lines beside, so boundaries depend on a few lines around them, an insertion moves no others, and every chunk
+but a text's last has two lines or more. This is done for each of SEEDS, whose boundaries differ, so that a
+passage's edges which one chunking leaves are caught by another. A chunk of two lines or more that occurs
+anywhere else is kept at its first place (least doc_id, then key, then line) and removed elsewhere, once its
+bytes have been compared with the first place's.
 
-Hashes are counted first, without text; only chunks whose hash repeats carry their text on. Hot chunks are
-counted by partial sums, and the comparison's join can be split. Joins are merges of shuffled sides at every
-size, so that disk use grows as the input does.
+Hashes are counted and joined without text; only chunks whose hash repeats are cut out of their texts for
+the comparison. Hot chunks are counted by partial sums, and joins can be split. Joins are merges of shuffled
+sides at every size, so that disk use grows as the input does.
 
 Null texts stay null; an empty text is one empty line. Rows alike in doc_id and text are one document: all
 keep or lose the same lines. Chunks under ``MIN_BYTES`` are left alone. Extra columns pass through.
@@ -18,10 +20,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import Scratch
+from tidemark.llm.common import Scratch, once
 
-#: Lines a rolling hash sees, and one in how many lines ends a chunk.
-WINDOW, DIVISOR = 2, 2
+#: Multipliers of line hashes, one a chunking; the modulus of the rolling hash; lines it sees.
+SEEDS, MODULUS, WINDOW = (1, 1_103_515_245), 2_147_483_647, 2
 MIN_BYTES = 64
 
 
@@ -30,41 +32,54 @@ def row_key() -> Column:
 
 
 def line_chunks(df: DataFrame) -> DataFrame:
-    """(rk, doc_id, start, size, chunk) for each multi-line chunk of doc_id and text; start counts lines from 1."""
-    lines = df.where("text is not null").select("doc_id", row_key().alias("rk"), F.split("text", "\n", -1).alias("lines"))
-    hashed = lines.withColumn("h", F.transform("lines", lambda x: F.conv(F.substring(F.md5(x), 1, 7), 16, 10).cast("long")))
-    rolled = lambda i: sum((F.coalesce(F.get(F.col("h"), i - 1 - k), F.lit(0).cast("long")) * 31 ** (WINDOW - 1 - k) for k in range(WINDOW)), F.lit(0))
-    ends = F.filter(F.sequence(F.lit(1), F.size("h")), lambda i: (i == F.size("h")) | (rolled(i) % DIVISOR == 0))
-    cut = hashed.withColumn("ends", ends)
-    before = lambda k: F.coalesce(F.get(F.col("ends"), k - 1), F.lit(0))
+    """(doc_id, rk, start, size, h) for each multi-line chunk of doc_id and text, of every chunking; start counts
+    lines from 1, h is the chunk's MD5."""
+    lines = df.where("text is not null").select("doc_id", row_key().alias("rk"), once(F.split("text", "\n", -1), "lines"))
+    hashed = lines.select("*", once(F.transform("lines", lambda x: F.conv(F.substring(F.md5(x), 1, 7), 16, 10).cast("long")), "g"))
+    seeded = hashed.select("*", F.explode(F.array(*[F.lit(s).cast("long") for s in SEEDS])).alias("seed"))
+    line = lambda i: F.coalesce(F.get("g", i), F.lit(0).cast("long")) * F.col("seed") % MODULUS
+    roll = F.transform(F.sequence(F.lit(0), F.size("g") - 1), lambda i: (line(i) * 31 + line(i - 1)) % MODULUS)
+    rolled = seeded.select("doc_id", "rk", "lines", once(roll, "r"))
+    least = lambda i: (F.get("r", i - 1) < F.get("r", i - 2)) & (F.get("r", i - 1) <= F.get("r", i))
+    last = F.size("r")
+    ends = F.filter(F.sequence(F.lit(1), last), lambda i: (i == last) | F.coalesce(least(i), F.lit(False)))
+    cut = rolled.select("doc_id", "rk", "lines", once(ends, "ends"))
+    before = lambda k: F.coalesce(F.get("ends", k - 1), F.lit(0))
     spans = F.transform("ends", lambda e, k: F.struct((before(k) + 1).alias("start"), (e - before(k)).alias("size")))
-    spans = F.filter(spans, lambda s: s["size"] >= 2)
-    whole = cut.select("doc_id", "rk", "lines", F.explode(spans).alias("s"))
+    whole = cut.select("doc_id", "rk", "lines", F.explode(F.filter(spans, lambda s: s["size"] >= 2)).alias("s"))
     chunk = F.array_join(F.slice("lines", F.col("s.start"), F.col("s.size")), "\n")
-    return whole.select("doc_id", "rk", "s.start", "s.size", chunk.alias("chunk")).where(F.octet_length("chunk") >= MIN_BYTES)
+    told = whole.select("doc_id", "rk", "s.start", "s.size", once(chunk, "chunk")).where(F.octet_length("chunk") >= MIN_BYTES)
+    return told.select("doc_id", "rk", "start", "size", F.unhex(F.md5("chunk")).alias("h"))
 
 
 def repeated_spans(df: DataFrame, scratch: Scratch) -> DataFrame:
     """(rk, cut: array of (start, size)): the chunks each document loses."""
-    found = line_chunks(df.select("doc_id", "text")).withColumn("h", F.unhex(F.md5("chunk")))
+    df = df.select("doc_id", "text")
+    found = line_chunks(df)
     place = F.struct("doc_id", "rk", "start")
-    many = found.groupBy("h").agg(F.count("*").alias("n"), F.min(place).alias("first")).where("n > 1").select("h", "first")
-    again = found.join(many.hint("merge"), "h").select("h", "rk", "start", "size", "chunk", place.eqNullSafe(F.col("first")).alias("is_first"))
-    again = scratch.keep(again, "again")
-    first = again.where("is_first").groupBy("h").agg(F.min("chunk").alias("kept"))
-    same = again.where("not is_first").join(first.hint("merge"), "h").where("chunk = kept")
+    many = found.groupBy("h").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").select("h", "first")
+    again = found.join(many.hint("merge"), "h").select("rk", F.struct("h", "start", "size", place.eqNullSafe(F.col("first")).alias("is_first")).alias("o"))
+    own = again.groupBy("rk").agg(F.collect_set("o").alias("own"))
+    texts = df.withColumn("rk", row_key()).join(own.hint("merge"), "rk").select("rk", "own", once(F.split("text", "\n", -1), "lines")).select("rk", "lines", F.explode("own").alias("o"))
+    chunk = F.array_join(F.slice("lines", F.col("o.start"), F.col("o.size")), "\n")
+    texts = scratch.keep(texts.select("rk", "o.*", chunk.alias("chunk")), "texts")
+    first = texts.where("is_first").groupBy("h").agg(F.min("chunk").alias("kept"))
+    same = texts.where("not is_first").join(first.hint("merge"), "h").where("chunk = kept")
     return same.groupBy("rk").agg(F.collect_set(F.struct("start", "size")).alias("cut"))
 
 
-def dedup_lines(df: DataFrame) -> DataFrame:
-    """df with its text less the repeated chunks, and n_lines and n_removed."""
+def dedup_lines(df: DataFrame, prefix: str = "") -> DataFrame:
+    """df with its text less the repeated chunks, and n_lines and n_removed (their names after ``prefix``)."""
     scratch = Scratch(df.sparkSession, "lines")
-    cuts = scratch.keep(repeated_spans(df, scratch), "cuts").select(F.col("rk").alias("_tm_rk"), F.col("cut").alias("_tm_cut"))
-    rows = df.withColumn("_tm_rk", row_key()).join(cuts.hint("merge"), "_tm_rk", "left")
-    rows = rows.withColumn("_tm_lines", F.split("text", "\n", -1))
-    gone = lambda i: F.exists(F.col("_tm_cut"), lambda s: (i + 1 >= s["start"]) & (i + 1 < s["start"] + s["size"]))
-    left = F.filter(F.col("_tm_lines"), lambda x, i: ~gone(i))
-    n_removed = F.coalesce(F.aggregate("_tm_cut", F.lit(0).cast("long"), lambda a, s: a + s["size"]), F.lit(0).cast("long"))
-    text = F.when(F.col("_tm_cut").isNull(), F.col("text")).otherwise(F.array_join(left, "\n"))
-    n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size("_tm_lines")).cast("long")
-    return rows.select(*[text.alias("text") if c == "text" else F.col(f"`{c}`") for c in df.columns], n_lines.alias("n_lines"), n_removed.alias("n_removed"))
+    cuts = scratch.keep(repeated_spans(df, scratch), "cuts")
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), row_key().alias("rk")).join(cuts.hint("merge"), "rk", "left")
+    text = F.col("row.text")
+    split = rows.select("row", "cut", once(F.split(text, "\n", -1), "lines"))
+    gone = lambda i: F.exists("cut", lambda s: (i + 1 >= s["start"]) & (i + 1 < s["start"] + s["size"]))
+    left = once(F.when(F.col("cut").isNotNull(), F.filter("lines", lambda x, i: ~gone(i))), "left")
+    told = split.select("row", "lines", left)
+    lines = F.when(text.isNull(), 0).otherwise(F.size("lines"))
+    removed = F.when(F.col("left").isNull(), 0).otherwise(lines - F.size("left"))
+    new = F.when(F.col("left").isNull(), text).otherwise(F.array_join("left", "\n"))
+    cols = [new.alias("text") if c == "text" else F.col(f"row.`{c}`").alias(c) for c in df.columns]
+    return told.select(*cols, lines.cast("long").alias(f"{prefix}n_lines"), removed.cast("long").alias(f"{prefix}n_removed"))

@@ -92,20 +92,17 @@ def route(patterns: dict[tuple, int], quotas: dict, repeats: int) -> dict[tuple,
     return {p: sum(net.flow(e) for e in es) for p, es in arcs.items()}
 
 
-def mix(df: DataFrame, sources: Column, order_key: Column, weights: tuple = (5, 2, 1), share: float = 1.5, repeats: int = 2) -> DataFrame:
-    """df with pattern (JSON), size, source_size and target (summed over the row's sources), uses and taken.
+def mix(df: DataFrame, sources: Column, order_key: Column, weights: tuple = (5, 2, 1), share: float = 1.5, repeats: int = 2, prefix: str = "") -> DataFrame:
+    """df with pattern (JSON), size, source_size and target (summed over the row's sources), uses and taken
+    (their names after ``prefix``, in place of columns of those names).
 
     ``sources``: array of source names; ``order_key``: a hexadecimal digest that seeds the order within a
     pattern. Sources weigh ``weights`` in code-point order, repeating, null last.
     """
     spark = df.sparkSession
-    sized = (
-        df.withColumn("size", word_count(F.col("text")))
-        .withColumn("_set", F.array_sort(F.array_distinct(sources)))
-        .withColumn("pattern", F.to_json(F.struct(F.col("_set").alias("s"))))
-        .withColumn("_key", order_key)
-        .withColumn("_bucket", F.conv(F.substring("_key", 1, 3), 16, 10).cast("int"))
-    )
+    whole_row = F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row")
+    sized = df.select(whole_row, word_count(F.col("text")).alias("size"), F.array_sort(F.array_distinct(sources)).alias("_set"), order_key.alias("_key"))
+    sized = sized.withColumn("pattern", F.to_json(F.struct(F.col("_set").alias("s")))).withColumn("_bucket", F.conv(F.substring("_key", 1, 3), 16, 10).cast("int"))
     sums = sized.groupBy("pattern", "_bucket").agg(F.first("_set").alias("_set"), F.sum("size").alias("n"))
     rows = sums.groupBy("pattern").agg(F.first("_set").alias("s"), F.sum("n").alias("n")).collect()
     patterns = {tuple(r["s"]): int(r["n"]) for r in rows}
@@ -132,8 +129,10 @@ def mix(df: DataFrame, sources: Column, order_key: Column, weights: tuple = (5,
     edge = told.where("_side = 2").withColumn("_upto", F.col("cut.before") + F.sum("size").over(inside))
     edge = edge.withColumn("_more", (2 * F.col("_upto") - F.col("size") <= 2 * F.col("rest")).cast("long")).drop("_upto")
     flat = told.where("_side <> 2").withColumn("_more", F.col("_side").cast("long"))
-    out = flat.unionByName(edge).withColumn("uses", F.col("whole") + F.col("_more"))
-    return out.withColumn("taken", F.col("uses") * F.col("size")).drop("_set", "_key", "_bucket", "_side", "_more", "cut", "whole", "rest")
+    out = flat.unionByName(edge).withColumn("uses", F.col("whole") + F.col("_more")).withColumn("taken", F.col("uses") * F.col("size"))
+    made = ("pattern", "size", "source_size", "target", "uses", "taken")
+    kept = [F.col(f"row.`{c}`").alias(c) for c in df.columns if c not in [prefix + m for m in made]]
+    return out.select(*kept, *[F.col(m).alias(prefix + m) for m in made])
 
 
 def seeded_key(seed: int = 0) -> Column:

@@ -50,13 +50,15 @@ n AS (SELECT a AS vec_id, count(*) AS n FROM l GROUP BY a)
 SELECT m.vec_id, coalesce(n.n, 0)::BIGINT AS n_links, m.component_id, m.vec_id = m.component_id AS kept FROM m LEFT JOIN n USING (vec_id)
 """
 
-_ROLL = " + ".join(f"coalesce(h[i - {k}], 0) * {31 ** (lines.WINDOW - 1 - k)}" for k in range(lines.WINDOW))
+_M = lines.MODULUS
 _OP9 = f"""
 WITH d AS (SELECT doc_id, text, string_split(text, chr(10)) AS l FROM documents),
 h AS (SELECT *, list_transform(l, lambda x: ('0x' || substr(md5(x), 1, 7))::BIGINT) AS h FROM d WHERE text IS NOT NULL),
-e AS (SELECT doc_id, l, unnest(list_filter(range(1, len(l) + 1), lambda i: i = len(l) OR ({_ROLL}) % {lines.DIVISOR} = 0)) AS e FROM h),
-b AS (SELECT *, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY e), 0) AS b FROM e),
-c AS (SELECT doc_id, b + 1 AS start, e AS stop, array_to_string(l[b + 1:e], chr(10)) AS c FROM b WHERE e - b >= 2),
+k AS (SELECT *, unnest([{", ".join(map(str, lines.SEEDS))}]::BIGINT[]) AS seed FROM h),
+r AS (SELECT doc_id, l, seed, list_transform(range(1, len(l) + 1), lambda i: (h[i] * seed % {_M} * 31 + coalesce(h[i - 1], 0) * seed % {_M}) % {_M}) AS r FROM k),
+e AS (SELECT doc_id, l, seed, unnest(list_filter(range(1, len(l) + 1), lambda i: i = len(l) OR coalesce(i > 1 AND r[i] < r[i - 1] AND r[i] <= r[i + 1], false))) AS e FROM r),
+b AS (SELECT *, coalesce(lag(e) OVER (PARTITION BY doc_id, seed ORDER BY e), 0) AS b FROM e),
+c AS (SELECT DISTINCT doc_id, b + 1 AS start, e AS stop, array_to_string(l[b + 1:e], chr(10)) AS c FROM b WHERE e - b >= 2),
 p AS (SELECT *, row_number() OVER (PARTITION BY c ORDER BY doc_id, start) AS r FROM c WHERE strlen(c) >= {lines.MIN_BYTES}),
 g AS (SELECT DISTINCT doc_id, unnest(range(start, stop + 1)) AS i FROM p WHERE r > 1),
 x AS (SELECT doc_id, list(i) AS gone FROM g GROUP BY doc_id)
