@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import keys
-from tidemark.operators import align, attribute, chunks, lookup, match, runs, vote
+from tidemark.operators import align, attribute, chunks, lookup, match, predict, runs, vote
 from tidemark.plans import versions
 from tidemark.plans.pairs import CELLS, MAPS, MARKS, NEW, OLD, POINTS, PROBES, RANGES, RUNS, UNITS, VOTES, frame, sql
 
@@ -463,6 +463,118 @@ def correspondence_roundtrip(units):
     return runs.gap_decode(coded, S, "_v").select("section", "ord", (F.col("_v") - 1).alias("src_ord"))
 
 
+_GO = "select p_partkey, case p_size % 4 when 0 then concat('a/b.(*T).M', p_partkey) when 1 then concat('a/b.Bucket[x.y].F', p_partkey) when 2 then concat('a/b.T.M-f', 'm') else concat('plain', p_partkey) end as name from {part}"
+
+
+@query(_GO, oracle=f"with n as (select *, regexp_replace(name, '\\[.*\\]', '') as bare from ({_GO})), l as (select *, regexp_replace(regexp_extract(bare, '([^.]*)$', 1), '[0-9]+$', '') as last from n) select p_partkey, case when ends_with(name, '-fm') then 'fm' when regexp_matches(bare, '\\(\\*[^()]*\\)\\.[^.]*$') then 'P|' || last else last end as key from l")
+def name_key(names):
+    return names.select("p_partkey", keys.name_key(F.col("name")).alias("key"))
+
+
+_MAG = "select l_orderkey, l_partkey, l_suppkey, l_orderkey - l_partkey as v from {lineitem}"
+
+
+@query(_MAG, oracle=f"select case when v = 0 then 0 else length(bin(abs(v))) end as class, count(*) as n from ({_MAG}) group by 1")
+def magnitude_histogram(rows):
+    return rows.groupBy(keys.magnitude(F.col("v")).cast("long").alias("class")).agg(F.count("*").alias("n"))
+
+
+_SEC_OLD, _SEC_NEW = (f"select concat('s', o_custkey) as name, cast(min(o_orderkey) as bigint) as off, count(*) as size from {{orders}} where o_orderkey % {m} <> 0 group by 1" for m in (3, 2))
+
+
+@query(_SEC_OLD, _SEC_NEW, oracle=f"select a.name, a.off as old_off, b.off as new_off, least(a.size, b.size) as size from ({_SEC_OLD}) a join ({_SEC_NEW}) b on a.name = b.name")
+def section_pairing(old, new):
+    return predict.section_pairing(old, new)
+
+
+_STARTS = "select o_custkey % 16 as section, o_orderkey % 500 * 16 as start from {orders}"
+
+
+@query(_STARTS, oracle=f"select section, start, lead(start) over (partition by section order by start) as \"end\" from (select distinct * from ({_STARTS}))")
+def source_extents(starts):
+    return predict.source_extents(starts, S)
+
+
+_SET_A, _SET_B = "select o_custkey % 16 as section, o_orderkey % 700 * 8 as v from {orders}", "select user_id % 16 as section, event_id % 900 * 12 as v from {events}"
+_ENUM = f"select section, v, row_number() over (partition by section order by v) - 1 as idx from (select * from ({_SET_A}) union select * from ({_SET_B}))"
+
+
+@query(_SET_A, _SET_B, oracle=_ENUM)
+def derive_enumeration(a, b):
+    return predict.derive_enumeration([a, b], S)
+
+
+@query(PROBES, _SET_A, _SET_B, oracle=f"select p.*, coalesce(e.idx, -1) as idx from ({PROBES}) p asof left join ({_ENUM}) e on e.section = p.section and p.addr >= e.v")
+def target_index(probes, a, b):
+    return predict.target_index(probes, predict.derive_enumeration([a, b], S), S)
+
+
+_FILE_REFS = "select l_orderkey * 10 + l_linenumber as id, case when l_partkey % 9 = 0 then 4294967295 else l_suppkey * 8 end as off from {lineitem}"
+_FILES_OLD, _FILES_NEW = "select s_suppkey * 8 as off, concat('f', s_suppkey % 60) as name from {supplier}", "select s_suppkey * 24 as off, concat('f', s_suppkey % 50) as name from {supplier}"
+
+
+@query(_FILE_REFS, _FILES_OLD, _FILES_NEW, oracle=f"with o as (select off, min(name) as name from ({_FILES_OLD}) group by 1), n as (select name, min(off) as new from ({_FILES_NEW}) group by 1) select r.id, r.off, case when r.off = 4294967295 then r.off else coalesce(n.new, r.off) end as new_off from ({_FILE_REFS}) r left join o on o.off = r.off left join n on n.name = o.name")
+def file_offset_remap(refs, old, new):
+    return predict.file_offset_remap(refs, old, new)
+
+
+_ALIGNED = f"select section, id as ord, case cents % 3 when 0 then cast(4 as bigint) when 1 then cast(16 as bigint) else cast(64 as bigint) end as align, cents % 30 as content, 5 + cents % 30 as len from ({OLD}) o"
+
+
+@query(_ALIGNED, oracle=f"""with u as ({_ALIGNED}), f as (select section, align, content, min(ord) as o, any_value(len) as l from u group by 1, 2, 3), p as (select *, sum(l) over (partition by section, align order by o) - l as i from f),
+z as (select section, coalesce(sum(l) filter (align = 4), 0) as a, coalesce(sum(l) filter (align = 16), 0) as b from f group by 1),
+s as (select section, a, b, a + (16 - a % 16) % 16 as s16 from z), t as (select *, s16 + b + (64 - (s16 + b) % 64) % 64 as s64 from s)
+select p.section, p.align, p.content, cast(i + case p.align when 4 then 0 when 16 then s16 else s64 end as bigint) as "offset" from p join t on t.section = p.section""")
+def grouped_first_use(uses):
+    return predict.grouped_first_use(uses, S)
+
+
+_FIXABLE = f"select section, ord, (dst - src) - (dst - src) % 64 as delta, id % 3 = 1 as matched, id % 10 = 5 as ambiguous from ({UNITS}) u"
+_BALLOTS = f"select section, ord, (ord % 4) * 16 as shift, cast(1 as bigint) as weight from ({UNITS}) u where id % 4 <> 0 union all select section, ord, (ord % 3) * 16 as shift, cast(2 as bigint) as weight from ({UNITS}) u where id % 5 = 0 and section % 2 = 0"
+
+
+@query(_FIXABLE, _BALLOTS, oracle=f"""with v as (select section, ord, shift, sum(weight) as w from ({_BALLOTS}) group by 1, 2, 3), m as (select section, ord, max_by(shift, w * 1000 + shift) as s, max(w) as w, sum(w) as a from v group by 1, 2),
+x as (select b.*, case when not matched and 2 * m.w > m.a then m.s end as won from ({_FIXABLE}) b left join m on m.section = b.section and m.ord = b.ord),
+y as (select *, last_value(case when matched then delta else won end ignore nulls) over (partition by section order by ord) as l, count(won) over (partition by section) > 0 as any_ from x)
+select section, ord, delta, matched, ambiguous, case when won is not null then won when any_ and not matched and not ambiguous then coalesce(l, delta) else delta end as fixed from y""")
+def fix_blocks(blocks, votes):
+    return predict.fix_blocks(blocks, votes, S)
+
+
+_IMAGE_RUNS = f"select section, pos as src, pos + 3 as dst, cast(7 as bigint) as n from ({CELLS}) c where pos % 10 = 0"
+
+
+@query(f"select section, pos from ({CELLS}) c", _IMAGE_RUNS, f"select section, pos, pred as value from ({CELLS}) c", oracle=f"select c.section, c.pos, coalesce(o.pred, 204) as got from ({CELLS}) c left join ({_IMAGE_RUNS}) r on r.section = c.section and c.pos >= r.dst and c.pos < r.dst + r.n left join ({CELLS}) o on o.section = c.section and o.pos = r.src + c.pos - r.dst")
+def lay_image(cells, runs_, old):
+    return predict.lay_image(cells, runs_, old, S)
+
+
+_MULTI_A, _MULTI_B = "select l_partkey % 100 as a, l_suppkey % 10 as b from {lineitem}", "select l_partkey % 100 as a, l_suppkey % 9 as b from {lineitem}"
+
+
+@query(_MULTI_A, _MULTI_B, oracle=f"select (select count(*) from (select * from ({_MULTI_A}) except all select * from ({_MULTI_B}))) as only_a, (select count(*) from (select * from ({_MULTI_B}) except all select * from ({_MULTI_A}))) as only_b")
+def multiset_difference(a, b):
+    return predict.multiset_difference(a, b)
+
+
+@query(f"select section, id % 5000 as src, id * 3 as dst, 20 + cents % 300 as n from ({OLD}) o")
+def disjoint_runs(rows):
+    return predict.disjoint_runs(rows, "section")
+
+
+@query("select l_shipmode_ as class, l_orderkey * 10 + l_linenumber as ord, l_partkey as v from (select concat(l_returnflag, l_linestatus) as l_shipmode_, * from {lineitem}) x".replace("l_shipmode_", "kind"))
+def marginal_price(rows):
+    return predict.marginal_price(rows, "class", "v")
+
+
+_BY_CLASS = f"select section, case when id % 2 = 0 then 'even' else 'odd' end as class, pos from ({CELLS}) c where pred <> want"
+
+
+@query(_BY_CLASS, oracle=f"select section, class, count(*) as wrong from ({_BY_CLASS}) group by rollup (section, class)")
+def class_rollup(rows):
+    return rows.rollup("section", "class").agg(F.count("*").alias("wrong"))
+
+
 @query(OLD, NEW, oracle=f"select (select count(*) from ({NEW})) as n_rows, cast(0 as bigint) as mismatches")
 def diff_patch_roundtrip(old, new):
     got = versions.patch(old, versions.diff(old, new, ["id"]), ["id"])
