@@ -57,6 +57,16 @@ def once(expr: Column, name: str) -> Column:
     return F.inline(F.array(F.struct(expr.alias(name))))
 
 
+def hidden(df: DataFrame) -> list[Column]:
+    """df's columns under names that no operator makes: _tm_c0, _tm_c1, ..."""
+    return [F.col(f"`{c}`").alias(f"_tm_c{i}") for i, c in enumerate(df.columns)]
+
+
+def shown(df: DataFrame, made: tuple = ()) -> list[Column]:
+    """The inverse of hidden, without the columns that results replace."""
+    return [F.col(f"_tm_c{i}").alias(c) for i, c in enumerate(df.columns) if c not in made]
+
+
 def utf8_bytes(text: Column) -> Column:
     return F.coalesce(F.octet_length(text).cast("long"), F.lit(0).cast("long"))
 
@@ -78,20 +88,20 @@ def global_rank(scratch: Scratch, df: DataFrame, keys: list[str], partitions: in
     runs before it: no task sees more than its run, and the driver gets one number for each run. Rows equal
     in all keys are spread by their place in the input; they must be interchangeable to the caller.
     """
-    spread = df.withColumn("_spread", F.monotonically_increasing_id())
-    runs = spread.repartitionByRange(partitions, *keys, "_spread").sortWithinPartitions(*keys, "_spread").drop("_spread")
+    spread = df.withColumn("_tm_spread", F.monotonically_increasing_id())
+    runs = spread.repartitionByRange(partitions, *keys, "_tm_spread").sortWithinPartitions(*keys, "_tm_spread").drop("_tm_spread")
     base = F.lit(1 << 33)
-    runs = scratch.keep(runs.withColumn("_id", F.monotonically_increasing_id()), "runs")
-    runs = runs.withColumn("_run", F.floor(F.col("_id") / base).cast("long"))
-    counts = sorted((r["_run"], r["n"]) for r in runs.groupBy("_run").agg(F.count("*").alias("n")).collect())
+    runs = scratch.keep(runs.withColumn("_tm_id", F.monotonically_increasing_id()), "runs")
+    runs = runs.withColumn("_tm_run", F.floor(F.col("_tm_id") / base).cast("long"))
+    counts = sorted((r["_tm_run"], r["n"]) for r in runs.groupBy("_tm_run").agg(F.count("*").alias("n")).collect())
     starts, total = [], 0
     for run, n in counts:
         starts.append((run, total))
         total += n
     if not starts:
-        return runs.withColumn(name, F.lit(0).cast("long")).drop("_id", "_run"), 0
+        return runs.withColumn(name, F.lit(0).cast("long")).drop("_tm_id", "_tm_run"), 0
     at = F.create_map(*[F.lit(x).cast("long") for pair in starts for x in pair])
-    return runs.withColumn(name, F.col("_id") - F.col("_run") * base + F.element_at(at, F.col("_run"))).drop("_id", "_run"), total
+    return runs.withColumn(name, F.col("_tm_id") - F.col("_tm_run") * base + F.element_at(at, F.col("_tm_run"))).drop("_tm_id", "_tm_run"), total
 
 
 def partitions_for(spark: SparkSession) -> int:

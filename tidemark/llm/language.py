@@ -150,28 +150,29 @@ def fit(vocab: Vocabulary, counts: dict[str, dict[str, int]]) -> Model:
 
 
 def learn(df: DataFrame, vocab: Vocabulary, docs: int = SAMPLE_DOCS, words: int = SAMPLE_WORDS) -> Model:
-    """A model from df's text and lang: at most ``docs`` documents a language, the least by a hash of the
-    text, and the ``words`` most frequent words of them."""
-    labelled = df.where("lang is not null and text is not null").select("lang", "text")
-    first = Window.partitionBy("lang").orderBy("h", "text")
-    pick = labelled.withColumn("h", F.xxhash64("text")).groupBy("lang", "h").agg(F.min(F.substring("text", 1, 0)).alias("text"))
-    cut = pick.withColumn("n", F.row_number().over(first)).where(F.col("n") <= docs).groupBy("lang").agg(F.max("h").alias("cut"))
-    bounds = {r["lang"]: r["cut"] for r in cut.collect()}
-    if not bounds:
+    """A model from df's text and lang: about ``docs`` distinct texts a language, the least by a hash of the text,
+    or all if there are fewer, and the ``words`` most frequent words of them."""
+    labelled = df.where("lang is not null and text is not null").select("lang", F.xxhash64("text").alias("h"), "text")
+    texts = labelled.select("lang", "h").distinct().groupBy("lang").count().collect()
+    if not texts:
         return Model(vocab, [], np.zeros((len(vocab.pieces), 0)))
-    at = F.element_at(F.create_map(*[F.lit(x) for pair in bounds.items() for x in pair]), F.col("lang"))
-    sample = labelled.where(F.xxhash64("text") <= at)
+    # Hashes are uniform: below this one lie about ``docs`` of a language's distinct texts.
+    bounds = {r["lang"]: min(2**63 - 1, -(2**63) + 2**64 * docs // r["count"]) for r in texts}
+    at = F.element_at(F.create_map(*[F.lit(x) if isinstance(x, str) else F.lit(x).cast("long") for pair in bounds.items() for x in pair]), F.col("lang"))
+    sample = labelled.where(F.col("h") <= at).groupBy("lang", "h").agg(F.first("text").alias("text"))
     split = sample.select("lang", F.explode(F.split("text", r"\s+")).alias("w")).where("w <> ''").groupBy("lang", "w").count()
     top = Window.partitionBy("lang").orderBy(F.desc("count"), "w")
-    counts: dict[str, dict[str, int]] = {g: {} for g in bounds}
+    counts: dict[str, dict[str, int]] = {r["lang"]: {} for r in texts}
     for r in split.withColumn("n", F.row_number().over(top)).where(F.col("n") <= words).collect():
         counts[r["lang"]][r["w"]] = r["count"]
     return fit(vocab, counts)
 
 
 def identify(df: DataFrame, model: Model, keep: list[str] | None = None, prefix: str = "") -> DataFrame:
-    """``keep`` (all but the text, by default) with lang_pred and score (their names after ``prefix``)."""
-    keep = [c for c in df.columns if c != "text"] if keep is None else keep
+    """``keep`` (all but the text, by default) with lang_pred and score (their names after ``prefix``, in place of columns of
+    those names)."""
+    made = (f"{prefix}lang_pred", f"{prefix}score")
+    keep = [c for c in df.columns if c not in ("text", *made)] if keep is None else keep
     shared = df.sparkSession.sparkContext.broadcast(model)
     schema = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep) + f", {prefix}lang_pred string, {prefix}score double"
 
@@ -180,6 +181,6 @@ def identify(df: DataFrame, model: Model, keep: list[str] | None = None, prefix:
         for b in batches:
             said = m.judge(b.column("text").to_pylist())
             cols = [b.column(c) for c in keep] + [pa.array([s[0] for s in said], pa.string()), pa.array([s[1] for s in said], pa.float64())]
-            yield pa.RecordBatch.from_arrays(cols, names=[*keep, f"{prefix}lang_pred", f"{prefix}score"])
+            yield pa.RecordBatch.from_arrays(cols, names=[*keep, *made])
 
     return df.select(*keep, *["text"] * ("text" not in keep)).mapInArrow(run, schema)

@@ -9,7 +9,7 @@ shingles are in the window.
 
 Texts and windows without any template's shingle can hold no match and are left out before hashing; that
 loses nothing. The template table is broadcast: its size is the library's, not the data's. Null, empty and
-short texts match nothing; repeated rows each get their own result.
+short texts match nothing; repeated rows each get their own result. A column named licenses is replaced.
 """
 
 from __future__ import annotations
@@ -92,5 +92,5 @@ def annotate(df: DataFrame, templates: dict[str, str] | None = None) -> DataFram
     """df with licenses: the sorted names of the templates found, empty if none."""
     found = scan(df, templates).select("_tm_rk", "licenses")
     rk = F.concat_ws("-", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.md5("text"))
-    out = df.withColumn("_tm_rk", rk).join(found, "_tm_rk", "left")
+    out = df.drop("licenses").withColumn("_tm_rk", rk).join(found, "_tm_rk", "left")
     return out.withColumn("licenses", F.coalesce("licenses", F.array().cast("array<string>"))).drop("_tm_rk")

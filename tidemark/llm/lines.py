@@ -12,7 +12,8 @@ the comparison. Hot chunks are counted by partial sums, and joins can be split.
 sides at every size, so that disk use grows as the input does.
 
 Null texts stay null; an empty text is one empty line. Rows alike in doc_id and text are one document: all
-keep or lose the same lines. Chunks under ``MIN_BYTES`` are left alone. Extra columns pass through.
+keep or lose the same lines. Chunks under ``MIN_BYTES`` are left alone. Extra columns pass through, but for
+columns of the results' names, which they replace.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import Scratch, once
+from tidemark.llm.common import Scratch, hidden, once
 
 #: Multipliers of line hashes, one a chunking; the modulus of the rolling hash; lines it sees.
 SEEDS, MODULUS, WINDOW = (1, 1_103_515_245), 2_147_483_647, 2
@@ -72,14 +73,15 @@ def dedup_lines(df: DataFrame, prefix: str = "") -> DataFrame:
     """df with its text less the repeated chunks, and n_lines and n_removed (their names after ``prefix``)."""
     scratch = Scratch(df.sparkSession, "lines")
     cuts = scratch.keep(repeated_spans(df, scratch), "cuts")
-    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), row_key().alias("rk")).join(cuts.hint("merge"), "rk", "left")
-    text = F.col("row.text")
-    split = rows.select("row", "cut", once(F.split(text, "\n", -1), "lines"))
+    rows = df.select(*hidden(df), F.col("text").alias("_tm_text"), row_key().alias("rk")).join(cuts.hint("merge"), "rk", "left")
+    text, own = F.col("_tm_text"), [f"_tm_c{i}" for i, c in enumerate(df.columns) if c != "text"]
+    split = rows.select(*own, "_tm_text", "cut", once(F.split(text, "\n", -1), "lines"))
     gone = lambda i: F.exists("cut", lambda s: (i + 1 >= s["start"]) & (i + 1 < s["start"] + s["size"]))
     left = once(F.when(F.col("cut").isNotNull(), F.filter("lines", lambda x, i: ~gone(i))), "left")
-    told = split.select("row", "lines", left)
+    told = split.select(*own, "_tm_text", "lines", left)
     lines = F.when(text.isNull(), 0).otherwise(F.size("lines"))
     removed = F.when(F.col("left").isNull(), 0).otherwise(lines - F.size("left"))
     new = F.when(F.col("left").isNull(), text).otherwise(F.array_join("left", "\n"))
-    cols = [new.alias("text") if c == "text" else F.col(f"row.`{c}`").alias(c) for c in df.columns]
+    made = (f"{prefix}n_lines", f"{prefix}n_removed")
+    cols = [new.alias("text") if c == "text" else F.col(f"_tm_c{i}").alias(c) for i, c in enumerate(df.columns) if c not in made]
     return told.select(*cols, lines.cast("long").alias(f"{prefix}n_lines"), removed.cast("long").alias(f"{prefix}n_removed"))

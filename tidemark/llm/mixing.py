@@ -19,7 +19,7 @@ from collections import defaultdict, deque
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import word_count
+from tidemark.llm.common import hidden, shown, word_count
 
 #: More plan rows than this are joined by a shuffle instead of a broadcast.
 BROADCAST_ROWS = 20_000
@@ -100,8 +100,7 @@ def mix(df: DataFrame, sources: Column, order_key: Column, weights: tuple = (5,
     pattern. Sources weigh ``weights`` in code-point order, repeating, null last.
     """
     spark = df.sparkSession
-    whole_row = F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row")
-    sized = df.select(whole_row, word_count(F.col("text")).alias("size"), F.array_sort(F.array_distinct(sources)).alias("_set"), order_key.alias("_key"))
+    sized = df.select(*hidden(df), word_count(F.col("text")).alias("size"), F.array_sort(F.array_distinct(sources)).alias("_set"), order_key.alias("_key"))
     sized = sized.withColumn("pattern", F.to_json(F.struct(F.col("_set").alias("s")))).withColumn("_bucket", F.conv(F.substring("_key", 1, 3), 16, 10).cast("int"))
     sums = sized.groupBy("pattern", "_bucket").agg(F.first("_set").alias("_set"), F.sum("size").alias("n"))
     rows = sums.groupBy("pattern").agg(F.first("_set").alias("s"), F.sum("n").alias("n")).collect()
@@ -131,8 +130,7 @@ def mix(df: DataFrame, sources: Column, order_key: Column, weights: tuple = (5,
     flat = told.where("_side <> 2").withColumn("_more", F.col("_side").cast("long"))
     out = flat.unionByName(edge).withColumn("uses", F.col("whole") + F.col("_more")).withColumn("taken", F.col("uses") * F.col("size"))
     made = ("pattern", "size", "source_size", "target", "uses", "taken")
-    kept = [F.col(f"row.`{c}`").alias(c) for c in df.columns if c not in [prefix + m for m in made]]
-    return out.select(*kept, *[F.col(m).alias(prefix + m) for m in made])
+    return out.select(*shown(df, tuple(prefix + m for m in made)), *[F.col(m).alias(prefix + m) for m in made])
 
 
 def seeded_key(seed: int = 0) -> Column:

@@ -179,11 +179,12 @@ def row_keys(keys: list, seed: int) -> np.ndarray:
 def encode(df: DataFrame, vocab: Vocabulary, key: str = "doc_id", seed: int = 0, keep_ids: bool = True, keep: list[str] | None = None) -> DataFrame:
     """``keep`` (all but the text, by default) with pieces (array of ids, if ``keep_ids``), n_pieces, ids_crc32
     (of the ids as little-endian 32-bit), text_crc32, decoded_crc32 and lossless: decoding gave the text."""
-    keep = [c for c in df.columns if c != "text"] if keep is None else keep
+    made = ("n_pieces", "ids_crc32", "text_crc32", "decoded_crc32", "lossless", *["pieces"] * keep_ids)
+    keep = [c for c in df.columns if c not in ("text", *made)] if keep is None else keep
     shared = df.sparkSession.sparkContext.broadcast(vocab)
     extra = "n_pieces long, ids_crc32 long, text_crc32 long, decoded_crc32 long, lossless boolean" + ", pieces array<int>" * keep_ids
     schema = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep) + ", " + extra
-    names = [*keep, "n_pieces", "ids_crc32", "text_crc32", "decoded_crc32", "lossless", *["pieces"] * keep_ids]
+    names = [*keep, *made]
     held: list[Sampler] = []
 
     def run(batches):
@@ -192,7 +193,7 @@ def encode(df: DataFrame, vocab: Vocabulary, key: str = "doc_id", seed: int = 0,
         s = held[0]
         for b in batches:
             texts = b.column("text").to_pylist()
-            got = s.encode(texts, row_keys(b.column("_key").to_pylist(), seed))
+            got = s.encode(texts, row_keys(b.column("_tm_key").to_pylist(), seed))
             rows = []
             for t, ids in zip(texts, got, strict=True):
                 if t is None:
@@ -208,4 +209,4 @@ def encode(df: DataFrame, vocab: Vocabulary, key: str = "doc_id", seed: int = 0,
                 cols.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(flat), mask=pa.array([i is None for i in got])) if got else pa.array([], pa.list_(pa.int32())))
             yield pa.RecordBatch.from_arrays(cols, names=names)
 
-    return df.select(*keep, F.col(key).alias("_key"), "text").mapInArrow(run, schema)
+    return df.select(*keep, F.col(key).alias("_tm_key"), "text").mapInArrow(run, schema)

@@ -6,7 +6,8 @@ shuffle is reproducible, row counts differ by at most one, and either way betwee
 is computable without the data.
 
 Null texts count as no bytes; empty tables give empty shards; rows equal in every ordering column are
-interchangeable, so repeated rows get distinct places in either order. Extra columns pass through.
+interchangeable, so repeated rows get distinct places in either order. Extra columns pass through, but for
+columns named row_no, shard or slot, which the results replace.
 """
 
 from __future__ import annotations
@@ -75,18 +76,18 @@ def shard_rows(df: DataFrame, order_by: list[str], shards: int, seed: int = 0) -
     One range shuffle of df as given: project the columns that are needed first, join the rest later.
     """
     spark = df.sparkSession
-    ranked, n = global_rank(Scratch(spark, "shards"), df, order_by, partitions_for(spark), "_row")
+    ranked, n = global_rank(Scratch(spark, "shards"), df, order_by, partitions_for(spark), "_tm_row")
     feistel = Feistel(n, seed)
 
     @F.pandas_udf("long")
     def place(row: pd.Series) -> pd.Series:
         return pd.Series(feistel.forward(row.to_numpy()))
 
-    return ranked.withColumn("_place", place("_row")).select(
-        *df.columns,
-        F.col("_row").alias("row_no"),
-        F.expr(f"cast(_place % {shards} as int)").alias("shard"),
-        F.expr(f"_place div {shards}").alias("slot"),
+    return ranked.withColumn("_tm_place", place("_tm_row")).select(
+        *[F.col(f"`{c}`") for c in df.columns if c not in ("row_no", "shard", "slot")],
+        F.col("_tm_row").alias("row_no"),
+        F.expr(f"cast(_tm_place % {shards} as int)").alias("shard"),
+        F.expr(f"_tm_place div {shards}").alias("slot"),
     )
 
 
