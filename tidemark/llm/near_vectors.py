@@ -31,7 +31,7 @@ from tidemark.llm.components import connected_components
 from tidemark.llm.lattice import mix
 from tidemark.llm.vectors import keyed, matrix, unit
 
-TREES, LEAF, SAMPLE, SPILL, ROUNDS = 10, 1024, 4096, 0.10, 8
+TREES, LEAF, SAMPLE, SPILL, ROUNDS = 16, 1024, 4096, 0.10, 8
 #: Levels a round adds at most.
 LEVELS = 7
 COSINE = 0.9
