@@ -57,6 +57,13 @@ def once(expr: Column, name: str) -> Column:
     return F.inline(F.array(F.struct(expr.alias(name))))
 
 
+def slices(batches, rows: int = 1024):
+    """Arrow batches cut to so many rows, which bounds what a Python worker holds at once."""
+    for b in batches:
+        for at in range(0, len(b), rows):
+            yield b.slice(at, rows)
+
+
 def hidden(df: DataFrame) -> list[Column]:
     """df's columns under names that no operator makes: _tm_c0, _tm_c1, ..."""
     return [F.col(f"`{c}`").alias(f"_tm_c{i}") for i, c in enumerate(df.columns)]

@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import slices
 from tidemark.llm.lattice import Lattices, by_step, heads
 from tidemark.llm.vocab import SPACE_MARK, Vocabulary
 
@@ -28,7 +29,7 @@ SAMPLE_DOCS, SAMPLE_WORDS = 1000, 4000
 #: The model is fitted on words of at most so many characters; any word is scored.
 FIT_CHARS = 40
 #: Words scored at once, and distinct words whose scores a worker remembers.
-BLOCK, MEMORY = 1 << 19, 600_000
+BLOCK, MEMORY = 1 << 18, 200_000
 EM_ROUNDS, SMOOTH = 4, 0.02
 #: Added to the log probability of each character, so that words of usual length stay in a double's range.
 SCALE = 4.0
@@ -178,7 +179,7 @@ def identify(df: DataFrame, model: Model, keep: list[str] | None = None, prefix:
 
     def run(batches):
         m = shared.value
-        for b in batches:
+        for b in slices(batches):
             said = m.judge(b.column("text").to_pylist())
             cols = [b.column(c) for c in keep] + [pa.array([s[0] for s in said], pa.string()), pa.array([s[1] for s in said], pa.float64())]
             yield pa.RecordBatch.from_arrays(cols, names=[*keep, *made])

@@ -11,7 +11,8 @@ import numpy as np
 from tidemark.llm.vocab import Vocabulary
 
 _P = np.uint64(0x9E3779B97F4A7C15 | 1)
-_SLOTS = 44
+#: A hash's bits below its slot: 2 ** 17 slots.
+_SLOTS = 47
 
 
 def mix(x: np.ndarray) -> np.ndarray:

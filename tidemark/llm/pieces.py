@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import slices
 from tidemark.llm.lattice import Lattices, by_step, heads, mix
 from tidemark.llm.vocab import SPACE_MARK, Vocabulary
 
@@ -31,7 +32,7 @@ POWER, BYTE_LOGW = 1.0, -14.0
 #: Added to the log weight of each character, so that words of usual length stay in a double's range.
 SCALE = 4.0
 #: Words sampled at once.
-BLOCK = 1 << 19
+BLOCK = 1 << 18
 #: Cuts before a word's space marks; the finer one also after a Latin letter that something else follows.
 _CHUNK = re.compile(rf"{SPACE_MARK}*[^{SPACE_MARK}]+|{SPACE_MARK}+")
 _FINE = re.compile(rf"{SPACE_MARK}*[^A-Za-zÀ-ɏ{SPACE_MARK}]*[A-Za-zÀ-ɏ]+|{SPACE_MARK}*[^A-Za-zÀ-ɏ{SPACE_MARK}]+|{SPACE_MARK}+")
@@ -191,7 +192,7 @@ def encode(df: DataFrame, vocab: Vocabulary, key: str = "doc_id", seed: int = 0,
         if not held:
             held.append(Sampler(shared.value))
         s = held[0]
-        for b in batches:
+        for b in slices(batches):
             texts = b.column("text").to_pylist()
             got = s.encode(texts, row_keys(b.column("_tm_key").to_pylist(), seed))
             rows = []
