@@ -3,10 +3,11 @@
 Texts with equal shingle sets form one node. Each of TREES sorted orders has DEPTH MinHash values of its own
 for a node, compared from the first. A region is the nodes that share the longest common prefix: BASE values
 at least, and as many more as it takes until the region holds at most SMALL nodes, so crowded regions go
-deeper. Candidates are (a) each node of a region, at every depth, with the region's least node, and (b) all
-pairs of a region that is small, or of each of the random parts into which one still crowded at full depth
-is split, where the two are not yet in one component. (b) comes after the links of (a) are confirmed and
-joined, so a group of thousands of near copies, linked through its least nodes, never becomes pairs.
+deeper; one still crowded at full depth is split into random parts. Candidates are (a) each node of a region,
+at every depth, with the region's least node, (b) nodes next to each other in a region or part, and (c) all
+pairs of a region or part. After each of these the links are confirmed and joined up, and (b) and (c) take
+only nodes that are not yet in one component: a group of thousands of near copies never becomes pairs, and
+what is left out can't change a component.
 
 A candidate whose sizes rule the similarity out, or whose SKETCH MinHash values agree in under KEEP places
 (five standard deviations below 0.8), is left; all others are confirmed on their full sets. At similarity
@@ -31,7 +32,7 @@ from tidemark.llm.components import connected_components
 from tidemark.llm.shingles import min_hashes, shingle_sets
 
 TREES, DEPTH, BASE, SMALL = 20, 8, 5, 32
-SKETCH, KEEP = 64, 35
+SKETCH, KEEP = TREES * DEPTH, 103
 PERCENT = 80
 
 
@@ -102,11 +103,10 @@ def _regions(scratch: Scratch, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     prefix = lambda t, d: F.xxhash64(t, F.slice("sig", t * DEPTH + 1, d))
     keys = F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.struct(*[prefix(t, d).alias(f"k{d}") for d in range(BASE, DEPTH + 1)]))
     rows = nodes.select("node", "n", F.inline(keys))
-    stars, small, held = [], [], []
+    stars, small = [], []
     for d in range(BASE, DEPTH + 1):
         region = rows.groupBy(f"k{d}").agg(F.count("*").alias("m"), F.min(F.struct("node", "n")).alias("lead")).where("m > 1")
         here = scratch.keep(rows.join(region, f"k{d}"), f"depth{d}")
-        held.append(here)
         star = here.where((F.col("node") != F.col("lead.node")) & _fits("n", "lead.n"))
         stars.append(star.select(F.col("lead.node").alias("a"), F.col("node").alias("b")))
         deep = d == DEPTH
@@ -119,13 +119,14 @@ def _regions(scratch: Scratch, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     return all_(stars).distinct(), all_(small)
 
 
-def _across(small: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs of each region's nodes that are not in one component yet."""
+def _across(small: DataFrame, labels: DataFrame, neighbours: bool) -> DataFrame:
+    """Pairs of each region's nodes that are not in one component yet: all, or those next to each other by size."""
     rows = small.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    groups = rows.groupBy("region", "part").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.collect_list(F.struct("node", "n", "label")).alias("all")).where("lo <> hi")
-    one = groups.select("all", F.explode("all").alias("x"))
-    other = F.filter("all", lambda y: (y["node"] > F.col("x.node")) & (y["label"] != F.col("x.label")) & _fits(y["n"], F.col("x.n")))
-    return one.select(F.col("x.node").alias("a"), F.explode(other).alias("y")).select("a", F.col("y.node").alias("b")).distinct()
+    groups = rows.groupBy("region", "part").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.array_sort(F.collect_list(F.struct("n", "node", "label"))).alias("all")).where("lo <> hi")
+    one = groups.select("all", F.posexplode("all").alias("i", "x"))
+    after = F.slice("all", F.col("i") + 2, F.lit(1)) if neighbours else F.slice("all", F.col("i") + 2, F.size("all"))
+    told = one.select("x", F.explode(after).alias("y")).where((F.col("x.label") != F.col("y.label")) & _fits(F.col("x.n"), F.col("y.n")))
+    return told.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
 
 
 def components(df: DataFrame, k: int = 5) -> DataFrame:
@@ -135,13 +136,14 @@ def components(df: DataFrame, k: int = 5) -> DataFrame:
     signed = scratch.keep(_signed(df, k), "signed")
     nodes = signed.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("sig").alias("sig"))
     nodes = scratch.keep(nodes, "nodes")
-    stars, small = _regions(scratch, nodes)
-    stars = scratch.keep(stars, "stars")
-    links = _confirmed(scratch, df, nodes, stars, k)
+    pairs, small = _regions(scratch, nodes)
+    pairs = scratch.keep(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+    tried, links = pairs, _confirmed(scratch, df, nodes, pairs, k)
     labels = scratch.keep(connected_components(scratch, links), "labels")
-    pairs = scratch.keep(_across(small, labels).join(stars, ["a", "b"], "left_anti"), "pairs")
-    more = _confirmed(scratch, df, nodes, pairs, k)
-    labels = connected_components(scratch, links.unionAll(more))
+    for neighbours in (True, False):
+        pairs = scratch.keep(_across(small, labels, neighbours).join(tried, ["a", "b"], "left_anti"), "pairs")
+        tried, links = tried.unionAll(pairs), links.unionAll(_confirmed(scratch, df, nodes, pairs, k))
+        labels = scratch.keep(connected_components(scratch, links), "labels")
     known = nodes.select("node", "doc_id").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     known = scratch.keep(known, "known")
     least = known.groupBy("label").agg(F.min("doc_id").alias("component_id"))
