@@ -141,6 +141,28 @@ def test_crowded_regions_lose_no_member(spark, monkeypatch):
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()) == sorted(brute_components(rows, 4))
 
 
+@pytest.mark.parametrize("block", [1024, 64])
+def test_crowded_regions_lose_no_spoke(spark, monkeypatch, block):
+    """Copies that are linked with one original only, and a crowd of texts too far from one another to link."""
+    monkeypatch.setattr(near_text, "BLOCK", block)
+    rng = random.Random(9)
+    base, far, rows = [f"word{i}" for i in range(200)], [f"far{i}" for i in range(200)], []
+    rows.append((1000, " ".join(base)))
+    for i in range(300):
+        w, z = list(base), list(far)
+        for x in rng.sample(range(4, 196, 8), 5):
+            w[x] = f"x{i}-{x}"
+        rows.append((i, " ".join(w)))
+        for x in rng.sample(range(4, 196, 8), 6 if i < 100 else 0):
+            z[x] = f"z{i}-{x}"
+        if i < 100:
+            rows.append((2000 + i, " ".join(z)))
+    want = brute_components(rows, 4)
+    assert len({c for d, _, c in want if d <= 1000}) == 1 and len({c for d, _, c in want if d >= 2000}) > 1
+    got = near_text.components(spark.createDataFrame(rows, CLASH), 4)
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()) == sorted(want)
+
+
 def test_near_text_dedup_keeps_one_of_each(spark):
     kept = near_text.dedup(odd(spark), 5)
     assert kept.columns == odd(spark).columns

@@ -4,10 +4,15 @@ Texts with equal shingle sets form one node. Each of TREES sorted orders has DEP
 for a node, compared from the first. A region is the nodes that share the longest common prefix: BASE values
 at least, and as many more as it takes until the region holds at most SMALL nodes, so crowded regions go
 deeper; one still crowded at full depth is split into random parts. Candidates are (a) each node of a region,
-at every depth, with the region's least node, (b) nodes next to each other in a region or part, and (c) all
-pairs of a region or part. After each of these the links are confirmed and joined up, and (b) and (c) take
-only nodes that are not yet in one component: a group of thousands of near copies never becomes pairs, and
-what is left out can't change a component.
+at every depth, with the region's least node, (b) nodes next to each other in a region or part, (c) all
+pairs of a region or part, (d) all pairs of the crowded regions at BASE. After each of these the links are
+confirmed and joined up, and (b) to (d) take only nodes that are not yet in one component: a group of
+thousands of near copies never becomes pairs, and what is left out can't change a component.
+
+For (d) a region is cut into blocks of about BLOCK nodes, and each pair of blocks that hold more than one
+component is compared in a task of its own: first only each node's best candidate is confirmed; then the nodes with
+candidates left bring their full sets and are compared exactly.
+A task gives at most a row a node, never its pairs.
 
 A candidate whose sizes rule the similarity out, or whose SKETCH MinHash values agree in under KEEP places
 (five standard deviations below 0.8), is left; all others are confirmed on their full sets. At similarity
@@ -31,7 +36,7 @@ from tidemark.llm.common import Scratch
 from tidemark.llm.components import connected_components
 from tidemark.llm.shingles import min_hashes, shingle_sets
 
-TREES, DEPTH, BASE, SMALL = 20, 8, 5, 32
+TREES, DEPTH, BASE, SMALL, BLOCK = 20, 8, 5, 32, 1024
 SKETCH, KEEP = TREES * DEPTH, 103
 PERCENT = 80
 
@@ -98,8 +103,9 @@ def _confirmed(scratch: Scratch, df: DataFrame, nodes: DataFrame, pairs: DataFra
     return links
 
 
-def _regions(scratch: Scratch, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """((a, b) of each node with its region's least node; (region, part, node, n) of the regions to pair up)."""
+def _regions(scratch: Scratch, nodes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """((a, b) of each node with its region's least node; (region, part, node, n) of the regions to pair up;
+    (region, node, n) of the regions over SMALL at BASE)."""
     prefix = lambda t, d: F.xxhash64(t, F.slice("sig", t * DEPTH + 1, d))
     keys = F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.struct(*[prefix(t, d).alias(f"k{d}") for d in range(BASE, DEPTH + 1)]))
     rows = nodes.select("node", "n", F.inline(keys))
@@ -113,10 +119,12 @@ def _regions(scratch: Scratch, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
         parts = F.when(F.lit(deep), F.pmod(F.xxhash64("node", f"k{d}"), F.ceil(F.col("m") / SMALL))).otherwise(0)
         small.append(here.where(F.lit(deep) | (F.col("m") <= SMALL)).select(F.col(f"k{d}").alias("region"), parts.cast("long").alias("part"), "node", "n"))
         rows = here.where(F.col("m") > SMALL).drop("m", "lead")
+        if d == BASE:
+            crowded = rows.select(F.col(f"k{d}").alias("region"), "node", "n")
         if deep or rows.isEmpty():
             break
     all_ = lambda xs: functools.reduce(DataFrame.unionAll, xs)
-    return all_(stars).distinct(), all_(small)
+    return all_(stars).distinct(), all_(small), crowded
 
 
 def _across(small: DataFrame, labels: DataFrame, neighbours: bool) -> DataFrame:
@@ -129,6 +137,100 @@ def _across(small: DataFrame, labels: DataFrame, neighbours: bool) -> DataFrame:
     return told.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
 
 
+def _tiles(scratch: Scratch, crowded: DataFrame, labels: DataFrame) -> DataFrame:
+    """(region, i, j, block, node, label): the nodes of each two blocks i and j of a region that hold more than
+    one component; block is i or j."""
+    rows = crowded.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    own = scratch.keep(rows.groupBy("region", "label").agg(F.count("*").alias("c")), "own")
+    mixed = own.groupBy("region").agg(F.sum("c").alias("m"), F.count("*").alias("k")).where("k > 1").drop("k")
+    held = rows.join(own.join(mixed, "region"), ["region", "label"])
+    alone = F.xxhash64("label", F.pmod(F.xxhash64("node"), F.ceil(F.col("c") / BLOCK)))
+    block = F.when(F.col("c") > BLOCK, alone).otherwise(F.pmod(F.xxhash64("label"), F.ceil(F.col("m") / BLOCK)))
+    placed = scratch.keep(held.select("region", block.alias("block"), "node", "label"), "placed")
+    span = placed.groupBy("region", "block").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
+    span = scratch.keep(span, "span")
+    side = lambda c, lo, hi: span.select("region", F.col("block").alias(c), F.col("lo").alias(lo), F.col("hi").alias(hi))
+    two = side("i", "lo", "hi").join(side("j", "lo2", "hi2"), "region").where((F.col("i") <= F.col("j")) & (F.least("lo", "lo2") != F.greatest("hi", "hi2")))
+    each = two.select("region", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("block"))
+    return scratch.keep(each.join(placed, ["region", "block"]), "tiles")
+
+
+def _compared(mode: str):
+    """For two blocks, (a, b, agree) by mode: ``best`` candidate b of each node a, ``any`` node a that has one,
+    or the ``links`` between components that join them up."""
+
+    def compare(t: pa.Table) -> pa.Table:
+        keys, n, block = t.column("node").to_pylist(), np.asarray(t.column("n")), np.asarray(t.column("block"))
+        sig = t.column("sig").combine_chunks().flatten().to_numpy().reshape(-1, TREES * DEPTH)[:, :SKETCH]
+        label = np.unique(np.array([x.hex() for x in t.column("label").to_pylist()]), return_inverse=True)[1]
+        i, j = t.column("i")[0].as_py(), t.column("j")[0].as_py()
+        right = np.flatnonzero(block == j)
+        if mode == "links":
+            items = t.column("items").combine_chunks()
+            code = np.unique(items.flatten().to_numpy(), return_inverse=True)[1]
+            ends = np.cumsum([0] + [len(x) for x in items])
+            sets, mark = [code[b:e] for b, e in zip(ends, ends[1:], strict=False)], np.zeros(len(code), dtype=bool)
+        best, other, found = np.zeros(len(keys), dtype=np.int64), np.zeros(len(keys), dtype=np.int64), []
+        for r in np.flatnonzero(block == i):
+            at = right[right > r] if i == j else right
+            at = at[(label[at] != label[r]) & (100 * np.minimum(n[at], n[r]) >= PERCENT * np.maximum(n[at], n[r]))]
+            agree = (sig[at] == sig[r]).sum(axis=1)
+            at, agree = at[agree >= KEEP], agree[agree >= KEEP]
+            if not len(at):
+                continue
+            if mode != "links":
+                up = agree > best[at]
+                best[at[up]], other[at[up]] = agree[up], r
+                if agree.max() > best[r]:
+                    best[r], other[r] = agree.max(), at[agree.argmax()]
+                continue
+            mark[sets[r]] = True
+            starts = np.cumsum([0] + [len(sets[x]) for x in at[:-1]])
+            both = np.add.reduceat(mark[np.concatenate([sets[x] for x in at])].astype(np.int64), starts)
+            mark[sets[r]] = False
+            for x in at[100 * both >= PERCENT * (n[at] + n[r] - both)]:
+                if label[x] != label[r]:
+                    found.append((r, x, 0))
+                    label[label == label[x]] = label[r]
+        if mode != "links":
+            found = [(a, other[a], best[a]) for a in np.flatnonzero(best)]
+        a, b, agree = zip(*found, strict=True) if found else ((), (), ())
+        out = {"a": pa.array([keys[x] for x in a], pa.binary()), "b": pa.array([keys[x] for x in b], pa.binary()), "agree": pa.array(agree, pa.int64())}
+        if mode == "any":
+            out |= {c: pa.array([t.column(c)[0].as_py()] * len(a), pa.int64()) for c in ("region", "i", "j")}
+            out["block"] = pa.array(block[list(a)], pa.int64())
+        return pa.table(out)
+
+    return compare
+
+
+def _joined(scratch: Scratch, df: DataFrame, nodes: DataFrame, crowded: DataFrame, tried: DataFrame, links: DataFrame, labels: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
+    """links and labels after all pairs of the crowded regions that are not in one component."""
+    row, by = "a binary, b binary, agree long", ["region", "i", "j"]
+    tiles = _tiles(scratch, crowded, labels)
+    if tiles.isEmpty():
+        return links, labels
+    best = tiles.join(nodes.select("node", "n", "sig"), "node").groupBy(*by).applyInArrow(_compared("best"), row)
+    best = best.groupBy("a").agg(F.max_by("b", F.struct("agree", "b")).alias("b"))
+    pairs = best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
+    links = links.unionAll(_confirmed(scratch, df, nodes, scratch.keep(pairs, "pairs"), k))
+    labels = scratch.keep(connected_components(scratch, links), "labels")
+    scratch.drop(tiles)
+    tiles = _tiles(scratch, crowded, labels)
+    full = tiles.join(nodes.select("node", "n", "sig"), "node")
+    left = full.groupBy(*by).applyInArrow(_compared("any"), f"{row}, region long, i long, j long, block long")
+    left = scratch.keep(left.select(*by, "block", F.col("a").alias("node")), "left")
+    if left.isEmpty():
+        return links, labels
+    ids = nodes.join(left.select("node").distinct(), "node").select(F.col("doc_id").alias("_id")).distinct()
+    items = _sets(df.join(ids, df["doc_id"].eqNullSafe(F.col("_id"))).select("text"), k).where("node is not null")
+    items = scratch.keep(items.groupBy("node").agg(F.first("items").alias("items")), "items")
+    full = left.join(tiles, [*by, "block", "node"]).join(nodes.select("node", "n", "sig"), "node").join(items, "node")
+    new = scratch.keep(full.groupBy(*by).applyInArrow(_compared("links"), row).select("a", "b"), "links")
+    links = links.unionAll(new)
+    return links, scratch.keep(connected_components(scratch, links), "labels")
+
+
 def components(df: DataFrame, k: int = 5) -> DataFrame:
     """(doc_id, at, n_shingles, component_id, kept) for each row of df (doc_id, text), with k words a shingle;
     ``at`` is the text's xxhash64."""
@@ -136,7 +238,7 @@ def components(df: DataFrame, k: int = 5) -> DataFrame:
     signed = scratch.keep(_signed(df, k), "signed")
     nodes = signed.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("sig").alias("sig"))
     nodes = scratch.keep(nodes, "nodes")
-    pairs, small = _regions(scratch, nodes)
+    pairs, small, crowded = _regions(scratch, nodes)
     pairs = scratch.keep(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
     tried, links = pairs, _confirmed(scratch, df, nodes, pairs, k)
     labels = scratch.keep(connected_components(scratch, links), "labels")
@@ -144,6 +246,7 @@ def components(df: DataFrame, k: int = 5) -> DataFrame:
         pairs = scratch.keep(_across(small, labels, neighbours).join(tried, ["a", "b"], "left_anti"), "pairs")
         tried, links = tried.unionAll(pairs), links.unionAll(_confirmed(scratch, df, nodes, pairs, k))
         labels = scratch.keep(connected_components(scratch, links), "labels")
+    links, labels = _joined(scratch, df, nodes, crowded, tried, links, labels, k)
     known = nodes.select("node", "doc_id").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     known = scratch.keep(known, "known")
     least = known.groupBy("label").agg(F.min("doc_id").alias("component_id"))
