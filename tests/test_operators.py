@@ -149,6 +149,16 @@ def test_fuzzy_runs():
     assert align.fuzzy_runs(b"", base) == [] and align.fuzzy_runs(base, b"") == []
 
 
+def test_seed_runs_take_every_document(spark, tmp_path):
+    from tidemark.plans import queries
+
+    text = "".join(random.Random(3).choices("abcdefghij ", k=9000))
+    rows = [(0, text, 9000), (1, "new " + text, 9004), (2, text[:3000], None), (3, text[:3000], 3000)]
+    spark.createDataFrame(rows, "doc_id long, text string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    got = queries.QUERIES["seed_runs"](spark, str(tmp_path)).collect()
+    assert sorted((r.pair, r.src, r.dst, r.n) for r in got) == [(0, 0, 4, 9000), (2, 0, 0, 3000)]
+
+
 def test_remove_overlaps():
     got = align.remove_overlaps([(0, 100, 10), (5, 300, 20), (8, 400, 4), (40, 0, 0)])
     assert all(a[0] + a[2] <= b[0] for a, b in zip(got, got[1:])) and all(n > 0 for *_, n in got)

@@ -446,7 +446,7 @@ def anchored_diff(rows):
     return align.anchored_diff(rows, "section")
 
 
-@query("select doc_id - doc_id % 2 as pair, encode(max(case when doc_id % 2 = 0 then text else '' end), 'UTF-8') as old, encode(max(case when doc_id % 2 = 1 then text else '' end), 'UTF-8') as new from {documents} where n_chars < 4000 group by 1")
+@query("select doc_id - doc_id % 2 as pair, encode(max(case when doc_id % 2 = 0 then text else '' end), 'UTF-8') as old, encode(max(case when doc_id % 2 = 1 then text else '' end), 'UTF-8') as new from {documents} group by 1")
 def seed_runs(rows):
     return align.seed_runs(rows, "pair")
 
