@@ -126,19 +126,43 @@ def test_near_text_is_brute_force(spark, k):
     assert same((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()) == same(brute_components(rows, k))
 
 
-def test_crowded_regions_lose_no_member(spark, monkeypatch):
-    """More near copies than a region may hold, so that regions go deep and are split."""
-    monkeypatch.setattr(near_text, "SMALL", 4)
+@pytest.mark.parametrize("block", [1024, 16])
+def test_crowded_regions_lose_no_member(spark, monkeypatch, block):
+    """Regions of many copies, of chains whose ends are far apart, and of many small groups with much text in common."""
+    monkeypatch.setattr(near_text, "BLOCK", block)
     rng = random.Random(8)
-    base = [f"word{i}" for i in range(200)]
-    rows = []
-    for i in range(150):
+    base, rows = [f"word{i}" for i in range(200)], []
+    for i in range(120):
         w = list(base)
         for _ in range(3):
             w[rng.randrange(200)] = f"x{i}-{rng.randrange(9)}"
         rows.append((i, " ".join(w)))
+    steps = [f"step{i}" for i in range(700)]
+    rows += [(1000 + i, " ".join(steps[8 * i : 8 * i + 200])) for i in range(60)]
+    for g in range(50):  # groups of three, linked within, not across
+        own = [f"g{g}-{i}" if i % 25 == 0 else f"both{i}" for i in range(200)]
+        rows += [(2000 + 10 * g + c, " ".join(own + [f"c{g}-{c}"])) for c in range(3)]
+    rng.shuffle(rows)
+    want = brute_components(rows, 4)
+    assert len({c for d, _, c in want if 1000 <= d < 2000}) == 1 and len({c for d, _, c in want if d >= 2000}) == 50
     got = near_text.components(spark.createDataFrame(rows, CLASH), 4)
-    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()) == sorted(brute_components(rows, 4))
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()) == sorted(want)
+
+
+def test_sorted_runs_meet_their_neighbours_across_batches():
+    """Neighbours with a common prefix stay, whatever the batches; others go, but for a run's ends."""
+    import pyarrow as pa
+
+    key = lambda *v: np.array([*v, *range(50, 50 + near_text.DEPTH - len(v))], dtype=">u4").tobytes()
+    deep = [1] * near_text.BASE
+    rows = [(0, key(0), b"a", 9), (0, key(*deep), b"b", 9), (0, key(*deep, 2), b"c", 9), (0, key(*deep, 3), b"d", 5), (0, key(9), b"e", 9), (1, key(9), b"f", 9), (1, key(10), b"g", 9)]
+    t = pa.table(dict(zip(("tree", "key", "node", "n"), zip(*rows, strict=True), strict=True)))
+    t = t.append_column("label", t.column("node"))
+    for size in (1, 2, 3, 7):
+        met = pa.Table.from_batches(near_text._met(iter(t.drop(["label"]).to_batches(size))), t.drop(["label"]).schema)
+        assert met.column("node").to_pylist() == [b"a", b"b", b"c", b"d", b"g"]
+        beside = [tuple(p.values()) for x in near_text._beside(iter(t.to_batches(size))) for p in x.to_pylist()]
+        assert beside == [(b"b", b"c")]
 
 
 @pytest.mark.parametrize("block", [1024, 64])
