@@ -363,6 +363,30 @@ def test_vector_links_are_brute_force(spark, monkeypatch, leaf):
     assert near_vectors.links(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def test_wide_clusters_lose_few_links(spark):
+    """A cluster far wider than a leaf, most of whose pairs are links, amid other vectors."""
+    rng = np.random.default_rng(5)
+    middle = rng.standard_normal(64)
+    x = np.concatenate([middle / np.linalg.norm(middle) + 0.03 * rng.standard_normal((5000, 64)), rng.standard_normal((3000, 64)) / 8]).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>").withColumn("key", F.lit(1)).withColumn("a.b", F.lit(2))
+    got = {r.vec_id: r for r in near_vectors.links(df).collect()}
+    u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    degree = np.concatenate([(u[a : a + 1000] @ u.T >= 0.9).sum(axis=1) - 1 for a in range(0, 8000, 1000)])
+    mine = np.array([got[i].n_links for i in range(8000)])
+    assert (mine <= degree).all() and degree[:5000].mean() > 1024 and mine.sum() >= 0.97 * degree.sum()
+    assert {got[i].component_id for i in range(5000) if degree[i]} == {0}
+
+
+def test_vectors_of_odd_rows(spark):
+    """Null ids, repeated ids and columns with clashing names."""
+    rows = [(None, [1.0, 2.0]), (None, None), (50, [1.0, 2.0]), (50, [2.0, 1.0]), (7, [1.0, 2.5]), (8, [-1.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumns({c: F.lit(1) for c in ("key", "node", "raw", "dim", "leaf", "label")}).withColumn("a.b", F.lit(1))
+    links = sorted(((r.vec_id, r.n_links, r.component_id, r.kept) for r in near_vectors.links(df).collect()), key=repr)
+    assert links == sorted([(None, 2, 7, False), (None, 0, None, True), (50, 2, 7, False), (50, 0, 50, True), (7, 2, 7, True), (8, 0, 8, True)], key=repr)
+    near = [(r.query_id, r["rank"], r.vec_id) for r in curves.nearest(df, F.col("vec_id") % 50 == 0, 5).collect()]
+    assert {v for q, _, v in near} <= {7, 8, 50} and all(q == 50 for q, _, _ in near)
+
+
 # 6: urls
 
 

@@ -15,9 +15,11 @@ WORD = rf"[^{SPACE}]+"
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder the cluster names; a local one of our own only where none is set, as in tests."""
+    """The shared folder the cluster names; in local mode, where none is set, as in tests, one of our own."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="tidemark-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
@@ -107,8 +109,9 @@ def global_rank(scratch: Scratch, df: DataFrame, keys: list[str], partitions: in
         total += n
     if not starts:
         return runs.withColumn(name, F.lit(0).cast("long")).drop("_tm_id", "_tm_run"), 0
-    at = F.create_map(*[F.lit(x).cast("long") for pair in starts for x in pair])
-    return runs.withColumn(name, F.col("_tm_id") - F.col("_tm_run") * base + F.element_at(at, F.col("_tm_run"))).drop("_tm_id", "_tm_run"), total
+    first = F.broadcast(scratch.spark.createDataFrame(starts, "_tm_run long, _tm_first long"))  # a row a run
+    placed = runs.join(first, "_tm_run").withColumn(name, F.col("_tm_id") - F.col("_tm_run") * base + F.col("_tm_first"))
+    return placed.drop("_tm_id", "_tm_run", "_tm_first"), total
 
 
 def partitions_for(spark: SparkSession) -> int:

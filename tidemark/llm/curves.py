@@ -2,18 +2,20 @@
 
 Equal vectors form one node, which keeps its least k + 1 ids. Each of CURVES orderings projects the unit
 vectors by random directions of its own, shifts and quantises them, and orders nodes by Hilbert key; Spark
-range-partitions all orderings at once and gives every node its place. A query reads the blocks of BLOCK
-places that its window of WINDOW places either way touches, in every ordering; each block is compared with
-its queries as one matrix product, and each query's best nodes of all blocks are merged.
+range-partitions all orderings at once and gives every node its place. A query reads the blocks that its
+window of WINDOW places either way touches, in every ordering; each block is compared with its queries as
+one matrix product, and each query's best nodes of all blocks are merged and ranked by the exact cosine.
 
-Windows alone suffice where the orderings agree: if each of a query's k best was met in at least TWICE
-orderings, an equally near node that all of them missed is improbable (capture and recapture). All other
-queries are then compared with every block of one ordering, which is exact. So structured data cost
-windows, and data without structure cost a scan of the queries in blocks, at the same recall.
+How far a window must reach depends on the data around the query, and the orderings tell: if a query's k best
+were met in SEEN orderings on average, few equally near nodes can have been missed by all of them (capture and
+recapture; at three of sixteen about one in twenty). The windows of all other queries are widened WIDER times,
+again and again, until that holds or a window spans its ordering, which is exact. So clustered data cost narrow
+windows, and data without structure, where no index can tell near from far, cost wide ones at the same recall.
 
 Projections are fitted on SAMPLE nodes at most (their spread); all nodes are indexed. Vectors that are null,
-empty, zero or hold null or non-finite components take no part; vectors of different lengths never meet.
-Ties go to the smaller id. Fewer candidates than k give fewer rows.
+empty, zero or hold null or non-finite components take no part, nor do rows whose id is null; vectors of
+different lengths never meet. Ties go to the smaller id. Fewer candidates than k give fewer rows. Columns but
+the id and the vector are not read.
 """
 
 from __future__ import annotations
@@ -28,8 +30,10 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import Scratch, global_rank, partitions_for
 from tidemark.llm.vectors import keyed, matrix, unit
 
-CURVES, AXES, BITS = 8, 8, 8
-BLOCK, WINDOW, TWICE, SAMPLE = 512, 512, 2, 4096
+CURVES, AXES, BITS = 16, 8, 8
+#: The first window either way and its growth; the most places of a block; orderings a query's best are met in, on average.
+WINDOW, WIDER, BLOCK, SEEN = 512, 4, 4096, 3
+SAMPLE = 4096
 
 
 def hilbert(x: np.ndarray, bits: int) -> np.ndarray:
@@ -105,7 +109,7 @@ _MET = "query binary, node binary, score double, ids array<long>, curve int"
 
 def _best(met: DataFrame, k: int) -> DataFrame:
     """(query, node, score, ids, seen: orderings it was met in) of the k best nodes of each query. A query has
-    a bounded number of rows here: k of each block of its windows, or of each block of one ordering."""
+    a bounded number of rows here: k of each block of its windows."""
     one = met.groupBy("query", "node").agg(F.max("score").alias("score"), F.first("ids").alias("ids"), F.count_distinct("curve").alias("seen"))
     by = Window.partitionBy("query").orderBy(F.desc("score"), F.col("ids")[0])
     return one.withColumn("_r", F.row_number().over(by)).where(F.col("_r") <= k).drop("_r")
@@ -132,11 +136,10 @@ def nearest(df: DataFrame, is_query: Column, k: int, vec_id: str = "vec_id", vec
     return out.select("query_id", (F.col("p") + 1).cast("int").alias("rank"), F.col("e.id").alias("vec_id"), (-F.col("e.far")).alias("score"))
 
 
-def _search(scratch: Scratch, nodes: DataFrame, dim: int, k: int) -> DataFrame:
-    """(query, node, score, ids, seen): the k best nodes of each node that asks, itself included."""
-    spark = nodes.sparkSession
+def _placed(scratch: Scratch, nodes: DataFrame, dim: int) -> tuple[DataFrame, int]:
+    """((curve, place in it from 0, key, raw, ids, asks) of each node in each ordering; the number of nodes)."""
     pick = nodes.orderBy(F.xxhash64("key")).limit(SAMPLE).select("raw").toArrow()
-    shared = spark.sparkContext.broadcast(Curves(unit(matrix(pick.column("raw"), dim)), dim))
+    shared = nodes.sparkSession.sparkContext.broadcast(Curves(unit(matrix(pick.column("raw"), dim)), dim))
 
     def place(batches):
         for b in batches:
@@ -146,19 +149,31 @@ def _search(scratch: Scratch, nodes: DataFrame, dim: int, k: int) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(b), c, dtype=np.int32)), pa.array(shared.value.keys(x, c)), *b.columns], names=["curve", "at", *b.schema.names])
 
     placed = nodes.select("key", "raw", "ids", "asks").mapInArrow(place, "curve int, at long, key binary, raw binary, ids array<long>, asks boolean")
-    ranked, n = global_rank(scratch, placed, ["curve", "at", "key"], partitions_for(spark))
-    ranked = ranked.withColumn("block", F.expr(f"pos div {BLOCK}"))
-    here = lambda reach: F.sequence(F.expr(f"greatest(0L, pos - {reach}) div {BLOCK}"), F.expr(f"least({max(0, n - 1)}L, pos + {reach}) div {BLOCK}"))
-    windows = ranked.where("asks").select("key", "raw", F.explode(here(WINDOW)).alias("block"))
-    side = ranked.select("block", "curve", "key", "raw", "ids")
-    met = side.groupBy("block").cogroup(windows.groupBy("block")).applyInArrow(_met(dim, k), _MET)
-    best = scratch.keep(_best(met, k), "best")
-    # The self match is met everywhere; k best others must each be met twice.
-    sure = best.groupBy("query").agg(F.min("seen").alias("least"), F.count("*").alias("n")).where((F.col("least") >= TWICE) & (F.col("n") >= k))
-    unsure = nodes.where("asks").join(sure.select(F.col("query").alias("key")), "key", "left_anti").select("key", "raw")
-    one = side.where("curve = 0")
-    last = -(-(n // CURVES) // BLOCK)  # ordering 0 fills the first n / CURVES places
-    every = unsure.select("key", "raw", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(last).cast("long"))).alias("block"))
-    rest = one.groupBy("block").cogroup(every.groupBy("block")).applyInArrow(_met(dim, k), _MET)
-    rest = scratch.keep(_best(rest, k), "rest")
-    return best.join(sure.select("query"), "query", "left_semi").unionAll(rest.select(*best.columns))
+    ranked, total = global_rank(scratch, placed, ["curve", "at", "key"], partitions_for(nodes.sparkSession))
+    n = total // CURVES  # every ordering has all nodes
+    return ranked.select("curve", (F.col("pos") - F.col("curve") * n).alias("place"), "key", "raw", "ids", "asks"), n
+
+
+def _search(scratch: Scratch, nodes: DataFrame, dim: int, k: int) -> DataFrame:
+    """(query, node, score, ids, seen): the k best nodes of each node that asks, itself included."""
+    placed, n = _placed(scratch, nodes, dim)
+    asking, window, out = scratch.keep(placed.where("asks"), "asking"), WINDOW, []
+    while True:
+        size = min(window, BLOCK)
+        reach = F.sequence(F.expr(f"greatest(0L, place - {window}) div {size}"), F.expr(f"least({max(0, n - 1)}L, place + {window}) div {size}"))
+        asked = asking.select("curve", F.explode(reach).alias("block"), "key", "raw")
+        side = placed.withColumn("block", F.expr(f"place div {size}")).join(asked.select("curve", "block").distinct(), ["curve", "block"], "left_semi")
+        met = side.groupBy("curve", "block").cogroup(asked.groupBy("curve", "block")).applyInArrow(_met(dim, k), _MET)
+        best = scratch.keep(_best(met, k), "best")
+        if window >= n:
+            out.append(best)
+            break
+        # The query's own node is met everywhere and tells nothing.
+        others = F.sum(F.when(F.col("query") != F.col("node"), F.col("seen")))
+        sure = best.groupBy("query").agg(others.alias("seen"), F.count("*").alias("n")).where((F.col("n") >= k) & (F.col("seen") >= SEEN * (k - 1)))
+        out.append(best.join(sure.select("query"), "query", "left_semi"))
+        asking = scratch.keep(asking.join(sure.select(F.col("query").alias("key")), "key", "left_anti").select(*placed.columns), "asking")
+        if asking.isEmpty():
+            break
+        window *= WIDER
+    return functools.reduce(DataFrame.unionAll, out)

@@ -2,17 +2,21 @@
 
 Equal vectors form one node. Each tree splits the nodes at the median of a random projection, again and
 again; nodes within SPILL of the median by rank go to both sides. A tree's splits are fitted on a sample of
-SAMPLE nodes at most, every node is sent through them, and leaves that still hold over LEAF nodes are
-sampled and split again, round after round. Within each leaf all nodes are compared in double precision.
+about SAMPLE nodes, every node is sent through them, and leaves that still hold over LEAF nodes are
+sampled and split again, round after round. A part of which TIGHT of the sampled pairs are links is not
+split, whatever its size, since a split would part its links: it is compared whole, which takes at most
+1 / TIGHT comparisons for each link that it counts.
 
-A pair may meet in several leaves. It is counted in the least-numbered leaf that both its nodes are in,
-which each leaf can tell from its nodes' lists of leaves; so link counts are sums over leaves, and a leaf
-gives one row a node (its links, and the first node of its part of the leaf), never pairs. The rows are
-then summed and joined up into components.
+Within each leaf all nodes are compared in double precision: small leaves at once, others in tiles of two
+blocks of about BLOCK nodes, so that no task holds a whole group. A pair may meet in several leaves. It is
+counted in the least-numbered leaf that both its nodes are in, which each tile can tell from its nodes' lists
+of leaves; so link counts are sums over tiles, and a tile gives one row a node (its links, and the first node
+of its part of the tile), never pairs. The rows are then summed and joined up into components.
 
 Vectors that are null, empty, zero or hold null or non-finite components link with nothing and stand alone;
-vectors of different lengths never meet. Repeated vec_ids are rows like others. Leaves that don't get
-smaller in ROUNDS rounds are compared whole, block by block.
+vectors of different lengths never meet. Repeated vec_ids are rows like others; a null vec_id is kept, and is
+a component's id only where it stands alone. Leaves that don't get smaller in ROUNDS rounds are compared
+whole. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -23,7 +27,7 @@ import pickle
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import Scratch
@@ -32,39 +36,59 @@ from tidemark.llm.lattice import mix
 from tidemark.llm.vectors import keyed, matrix, unit
 
 TREES, LEAF, SAMPLE, SPILL, ROUNDS = 16, 1024, 4096, 0.10, 8
-#: Levels a round adds at most.
-LEVELS = 7
+#: Levels a round adds at most; nodes that one task sends through a tree; nodes of a tile's block.
+LEVELS, PART, BLOCK = 7, 16_384, 4096
+#: Share of links among sampled pairs from which a part is compared whole; sampled nodes it takes to tell, and that are compared.
+TIGHT, TELL, PROBE = 0.1, 16, 256
 COSINE = 0.9
 
 
 class Tree:
-    """LEVELS of splits, as one direction and two thresholds a split."""
+    """LEVELS of splits at most, as one direction and two thresholds a split; ``whole`` marks parts that are not
+    split. Directions follow from the seed and are not pickled."""
 
-    def __init__(self, x: np.ndarray, levels: int, seed: int):
-        rng = np.random.default_rng(seed & (2**63 - 1))
-        self.levels, n = levels, (1 << levels) - 1
-        self.way = rng.standard_normal((n, x.shape[1]))
-        self.lo, self.hi = np.zeros(n), np.zeros(n)
+    def __init__(self, x: np.ndarray, levels: int, seed: int, cosine: float):
+        self.seed, self.dim, n = seed & (2**63 - 1), x.shape[1], (1 << levels) - 1
+        self.lo, self.hi, self.whole = np.zeros(n), np.zeros(n), np.zeros(n, dtype=bool)
         held = {0: np.arange(len(x))}
         for s in range(n):
+            if s not in held:
+                continue
             own = held.pop(s)
+            probe = x[own[:PROBE]]
+            if len(probe) >= TELL and ((probe @ probe.T >= cosine).sum() - len(probe)) >= TIGHT * len(probe) * (len(probe) - 1):
+                self.whole[s] = True
+                continue
             p = x[own] @ self.way[s]
             if len(p):
                 self.lo[s], self.hi[s] = np.quantile(p, [0.5 - SPILL / 2, 0.5 + SPILL / 2])
             if 2 * s + 1 < n:
                 held[2 * s + 1], held[2 * s + 2] = own[p <= self.hi[s]], own[p >= self.lo[s]]
 
-    def route(self, x: np.ndarray) -> list[tuple[int, np.ndarray]]:
-        """(leaf, rows) with rows."""
-        held = {0: np.arange(len(x))}
+    @functools.cached_property
+    def way(self) -> np.ndarray:
+        return np.random.default_rng(self.seed).standard_normal((len(self.lo), self.dim))
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "way"}
+
+    def route(self, x: np.ndarray) -> list[tuple[int, bool, np.ndarray]]:
+        """(part, whether it stays whole, rows) of the parts that get rows."""
+        held, out = {0: np.arange(len(x))}, []
         for s in range(len(self.lo)):
             if s in held:
                 own = held.pop(s)
+                if self.whole[s]:
+                    out.append((s, True, own))
+                    continue
                 p = x[own] @ self.way[s]
                 for child, to in ((2 * s + 1, own[p <= self.hi[s]]), (2 * s + 2, own[p >= self.lo[s]])):
                     if len(to):
                         held[child] = to
-        return [(s - len(self.lo), own) for s, own in held.items()]
+        return out + [(s, False, own) for s, own in held.items()]
+
+
+_LEAF = "key binary, leaf long, whole boolean"
 
 
 def _child(leaf: int, k: int) -> int:
@@ -75,83 +99,104 @@ def _levels(n: int) -> int:
     return max(1, min(LEVELS, math.ceil(math.log2(max(2.0, 2.0 * n / LEAF)))))
 
 
-def _planted(nodes: DataFrame, dim: int, n: int) -> DataFrame:
-    """(node, leaf) of the first round: every tree over all nodes of one dimension."""
+def _routed(tree: Tree, root: int, keys: pa.Array, x: np.ndarray):
+    for k, whole, own in tree.route(x):
+        yield pa.RecordBatch.from_arrays([keys.take(pa.array(own)), pa.array(np.full(len(own), _child(root, k))), pa.array(np.full(len(own), whole))], names=["key", "leaf", "whole"])
+
+
+def _planted(nodes: DataFrame, dim: int, n: int, cosine: float) -> DataFrame:
+    """(key, leaf, whole) of the first round: every tree over all nodes of one dimension."""
     pick = nodes.orderBy(F.xxhash64("key")).limit(SAMPLE).select("raw").toArrow()
     sample = unit(matrix(pick.column("raw"), dim))
-    trees = {(t + 1) * 1_000_003 + dim: Tree(sample, _levels(n) if n > LEAF else 0, t) for t in range(TREES if n > LEAF else 1)}
-    shared = nodes.sparkSession.sparkContext.broadcast(trees)
+    trees = {(t + 1) * 1_000_003 + dim: Tree(sample, _levels(n) if n > LEAF else 0, t, cosine) for t in range(TREES if n > LEAF else 1)}
+    shared = nodes.sparkSession.sparkContext.broadcast(trees)  # thresholds of TREES * 2 ** LEVELS splits
 
     def run(batches):
         for b in batches:
-            if not len(b):
-                continue
-            x, keys = unit(matrix(b.column("raw"), dim)), b.column("key")
-            for root, tree in shared.value.items():
-                for k, own in tree.route(x):
-                    yield pa.RecordBatch.from_arrays([keys.take(pa.array(own)), pa.array(np.full(len(own), _child(root, k)))], names=["key", "leaf"])
+            if len(b):
+                x = unit(matrix(b.column("raw"), dim))
+                for root, tree in shared.value.items():
+                    yield from _routed(tree, root, b.column("key"), x)
 
-    return nodes.select("key", "raw").mapInArrow(run, "key binary, leaf long")
+    return nodes.select("key", "raw").mapInArrow(run, _LEAF)
 
 
-def _split_again(held: DataFrame, over: DataFrame, nodes: DataFrame, dim: int) -> DataFrame:
-    """(key, leaf) of the nodes of the leaves in ``over`` (leaf, m), after another round."""
-    rows = held.join(over, "leaf").join(nodes.select("key", "raw"), "key")
-    first = Window.partitionBy("leaf").orderBy(F.xxhash64("key", "leaf"))
-    sample = rows.withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= SAMPLE)
+def _split_again(held: DataFrame, over: DataFrame, nodes: DataFrame, dim: int, cosine: float) -> DataFrame:
+    """(key, leaf, whole) of the nodes of the leaves in ``over`` (leaf, m), after another round."""
+    rows = held.select("key", "leaf").join(over, "leaf").join(nodes.select("key", "raw"), "key")
+    sample = rows.where(F.pmod(F.xxhash64("key", "leaf"), "m") < SAMPLE)
 
     def grow(t: pa.Table) -> pa.Table:
         leaf = t.column("leaf")[0].as_py()
-        tree = Tree(unit(matrix(t.column("raw"), dim)), _levels(t.column("m")[0].as_py()), leaf)
+        tree = Tree(unit(matrix(t.column("raw"), dim)), _levels(t.column("m")[0].as_py()), leaf, cosine)
         return pa.table({"leaf": pa.array([leaf], pa.int64()), "tree": pa.array([pickle.dumps(tree)], pa.binary())})
 
-    trees = sample.groupBy("leaf").applyInArrow(grow, "leaf long, tree binary")
+    parts = F.ceil(F.col("m") / PART)
+    trees = sample.groupBy("leaf").applyInArrow(grow, "leaf long, tree binary").join(over, "leaf")
+    trees = trees.select("leaf", "tree", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("part"))
 
-    def route(batches):
-        for b in batches:
-            t = pa.Table.from_batches([b])
-            for leaf in set(t.column("leaf").to_pylist()):
-                own = t.filter(pa.array(np.asarray(t.column("leaf")) == leaf))
-                tree = pickle.loads(own.column("tree")[0].as_py())
-                keys = own.column("key").combine_chunks()
-                for k, to in tree.route(unit(matrix(own.column("raw"), dim))):
-                    yield pa.RecordBatch.from_arrays([keys.take(pa.array(to)), pa.array(np.full(len(to), _child(leaf, k)))], names=["key", "leaf"])
+    def route(own: pa.Table, tree: pa.Table) -> pa.Table:
+        out = []
+        if own.num_rows and tree.num_rows:
+            leaf, grown = tree.column("leaf")[0].as_py(), pickle.loads(tree.column("tree")[0].as_py())
+            out = list(_routed(grown, leaf, own.column("key").combine_chunks(), unit(matrix(own.column("raw"), dim))))
+        return pa.Table.from_batches(out, pa.schema([("key", pa.binary()), ("leaf", pa.int64()), ("whole", pa.bool_())]))
 
-    return rows.join(trees, "leaf").select("key", "leaf", "raw", "tree").mapInArrow(route, "key binary, leaf long")
+    dealt = rows.select("leaf", F.pmod(F.xxhash64("key"), parts).alias("part"), "key", "raw")
+    return dealt.groupBy("leaf", "part").cogroup(trees.groupBy("leaf", "part")).applyInArrow(route, _LEAF)
 
 
 def _compared(dim: int, cosine: float):
-    def leaf_links(t: pa.Table) -> pa.Table:
-        leaf, keys = t.column("leaf")[0].as_py(), t.column("key").to_pylist()
-        x, copies = unit(matrix(t.column("raw"), dim)), np.asarray(t.column("copies"))
-        near = [np.argwhere(np.triu(x[a : a + 512] @ x.T >= cosine, a + 1)) + [a, 0] for a in range(0, len(x), 512)]
-        pairs = np.concatenate(near)
-        own = np.unique(pairs)
-        degree, root = np.zeros(len(own), dtype=np.int64), np.arange(len(own))
-        if len(own):
-            i, j = np.searchsorted(own, pairs).T
-            codes = [np.asarray(c, dtype=np.int64) for c in t.column("leaves").take(pa.array(own)).to_pylist()]
-            of, code = np.repeat(np.arange(len(own)), [len(c) for c in codes]), np.concatenate(codes)
-            least = code < leaf
-            names, at, n = np.unique(code[least], return_inverse=True, return_counts=True)
-            seen = np.zeros((len(own), len(names)), dtype=bool)
-            seen[of[least], at] = True
-            seen = np.packbits(seen[:, n > 1], axis=1)
-            new = np.concatenate([~(seen[i[a : a + 65536]] & seen[j[a : a + 65536]]).any(axis=1) for a in range(0, len(i), 65536)])
-            c = copies[own]
-            np.add.at(degree, i[new], c[j[new]])
-            np.add.at(degree, j[new], c[i[new]])
-            while True:  # the first node of each part of the leaf, by minima over links and jumps
-                was = root.copy()
-                np.minimum.at(root, i, was[j])
-                np.minimum.at(root, j, was[i])
-                root = root[root]
-                if (root == was).all():
+    """(key, degree, root) of the nodes of a tile that have links in it: blocks i and j of a leaf, or all of it."""
+
+    def tile_links(t: pa.Table) -> pa.Table:
+        leaf, i, j = (t.column(c)[0].as_py() for c in ("leaf", "i", "j"))
+        block, keys, copies = np.asarray(t.column("block")), t.column("key").combine_chunks(), np.asarray(t.column("copies"))
+        x = unit(matrix(t.column("raw"), dim))
+        lists = t.column("leaves").combine_chunks()
+        code, of = lists.flatten().to_numpy(), np.repeat(np.arange(len(t)), np.diff(lists.offsets.to_numpy()))
+        names, at, many = np.unique(code, return_inverse=True, return_counts=True)
+        told = (names < leaf) & (many > 1)
+        seen = np.zeros((len(t), int(told.sum())), dtype=bool)
+        some = told[at]
+        seen[of[some], (np.cumsum(told) - 1)[at[some]]] = True
+        seen = np.packbits(seen, axis=1)
+        degree, root, linked = np.zeros(len(t)), np.arange(len(t)), np.zeros(len(t), dtype=bool)
+        left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
+        for a in range(0, len(left), 256):
+            u, v = np.nonzero(x[left[a : a + 256]] @ x[right].T >= cosine)
+            u, v = left[a + u], right[v]
+            if i == j:
+                u, v = u[u < v], v[u < v]
+            if not len(u):
+                continue
+            linked[u] = linked[v] = True
+            new = np.concatenate([~(seen[u[c : c + 65536]] & seen[v[c : c + 65536]]).any(axis=1) for c in range(0, len(u), 65536)])
+            degree += np.bincount(u[new], copies[v[new]], len(t)) + np.bincount(v[new], copies[u[new]], len(t))
+            while True:  # parts are joined at their roots, by minima and jumps
+                apart = root[u] != root[v]
+                u, v = u[apart], v[apart]
+                if not len(u):
                     break
-        name = [keys[k] for k in own]
-        return pa.table({"key": pa.array(name, pa.binary()), "degree": pa.array(degree), "root": pa.array([name[r] for r in root], pa.binary())})
+                least = np.minimum(root[u], root[v])
+                np.minimum.at(root, root[u], least)
+                np.minimum.at(root, root[v], least)
+                while (root[root] != root).any():
+                    root = root[root]
+        own = np.flatnonzero(linked)
+        return pa.table({"key": keys.take(pa.array(own)), "degree": pa.array(degree[own].astype(np.int64)), "root": keys.take(pa.array(root[own]))})
+
+    return tile_links
+
 
-    return leaf_links
+def _tiles(held: DataFrame, own: DataFrame) -> DataFrame:
+    """Each leaf's nodes: once if it is small, else in a tile for each two blocks of it."""
+    lists = held.groupBy("key").agg(F.collect_set("leaf").alias("leaves"))
+    blocks = held.groupBy("leaf").agg(F.count("*").alias("m")).select("leaf", F.when(F.col("m") <= LEAF, 1).otherwise(F.ceil(F.col("m") / BLOCK)).cast("int").alias("k"))
+    placed = held.join(blocks, "leaf").select("key", "leaf", "k", F.pmod(F.xxhash64("key", F.lit(1)), "k").cast("int").alias("block"))
+    other = F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("other")
+    full = own.join(lists, "key").join(placed, "key").select("key", "copies", "raw", "leaves", "leaf", "block", other)
+    return full.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
 
 
 def links(df: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", cosine: float = COSINE) -> DataFrame:
@@ -163,15 +208,13 @@ def links(df: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", cosi
     found = []
     for d in sorted(nodes.groupBy("dim").count().collect(), key=lambda r: r["dim"]):
         own = nodes.where(F.col("dim") == d["dim"])
-        held = scratch.keep(_planted(own, d["dim"], d["count"]), "leaves")
+        held = scratch.keep(_planted(own, d["dim"], d["count"], cosine), "leaves")
         for _ in range(ROUNDS):
-            over = scratch.keep(held.groupBy("leaf").agg(F.count("*").alias("m")).where(F.col("m") > LEAF), "over")
+            over = scratch.keep(held.where("not whole").groupBy("leaf").agg(F.count("*").alias("m")).where(F.col("m") > LEAF), "over")
             if over.isEmpty():
                 break
-            held = scratch.keep(held.join(over, "leaf", "left_anti").select("key", "leaf").unionAll(_split_again(held, over, own, d["dim"])), "leaves")
-        lists = held.groupBy("key").agg(F.collect_set("leaf").alias("leaves"))
-        full = own.join(lists, "key").select("key", "copies", "raw", "leaves", F.explode("leaves").alias("leaf"))
-        found.append(full.groupBy("leaf").applyInArrow(_compared(d["dim"], cosine), "key binary, degree long, root binary"))
+            held = scratch.keep(held.join(over, "leaf", "left_anti").select("key", "leaf", "whole").unionAll(_split_again(held, over, own, d["dim"], cosine)), "leaves")
+        found.append(_tiles(held, own).groupBy("leaf", "i", "j").applyInArrow(_compared(d["dim"], cosine), "key binary, degree long, root binary"))
     if found:
         met = scratch.keep(functools.reduce(DataFrame.unionAll, found), "met")
         labels = connected_components(scratch, met, "key", "root")
