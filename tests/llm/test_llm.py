@@ -23,7 +23,7 @@ def voc():
 
 def odd(spark):
     """Rows of every odd kind, with columns named like those operators make."""
-    extra = {c: F.lit(1) for c in ("h", "start", "size", "n", "node", "label", "a", "b", "at", "pos", "w", "hs", "keep", "cut", "rk", "first", "shard", "slot", "lang_pred", "score", "pieces", "lossless", "n_lines", "licenses", "host", "taken", "chunk", "row")}
+    extra = {c: F.lit(1) for c in ("h", "start", "size", "n", "node", "label", "a", "b", "at", "pos", "w", "hs", "keep", "cut", "rk", "first", "shard", "slot", "lang_pred", "score", "pieces", "lossless", "n_lines", "licenses", "host", "taken", "chunk", "row", "a.b", "_block", "_t", "rule", "template", "_bad", "g", "own", "spans", "pattern", "uses", "_tm_x")}
     return spark.createDataFrame(ODD, CLASH).withColumns(extra)
 
 
@@ -404,6 +404,25 @@ def test_urls(spark):
     assert urls.judge(pages.where("false"), rules).count() == 0
 
 
+def test_urls_of_odd_rows(spark):
+    names = ("host", "path", "rule", "template", "verdict", "t", "g", "p", "n", "lab", "_block", "_t", "_bad", "a.b")
+    long = "http://h.com/" + "/".join(f"s{i}" for i in range(60)) + "/" + "x" * 100_000
+    rows = [(u, None) for u in (None, "", "http://h.com/a", "http://h.com/a", long, "://", "http:///x")]
+    df = spark.createDataFrame(rows, "url string, bad boolean").withColumns({c: F.lit(7) for c in names})
+    got = urls.judge(df, queries.URL_RULES)
+    assert sorted(got.columns) == sorted(df.columns) and len(got.collect()) == len(rows)
+    assert {r["a.b"] for r in got.collect()} == {7} and {r.verdict for r in got.collect()} == {"allow"}
+
+
+def test_deep_branches_are_told_apart(spark):
+    """Branches that differ at the ninth segment, below a host of many templates."""
+    head = "http://h.com/" + "/".join("abcdefgh")
+    rows = [(f"{head}/{'ads' if i % 2 else 'news'}/x/{i}", bool(i % 2)) for i in range(400)]
+    rows += [(f"http://h.com/w{chr(97 + i % 26)}{'v' * (i // 26)}/p", None) for i in range(3000)]
+    got = urls.judge(spark.createDataFrame(rows, "url string, bad boolean"), []).collect()
+    assert all((r.verdict == "block") == ("/ads/" in r.url) for r in got) and len(got) == len(rows)
+
+
 def test_a_bad_branch_is_rejected_alone(spark):
     rows = [(f"http://h.com/{'bad' if i % 2 else 'good'}/{i}", bool(i % 2) if i < 200 else None) for i in range(400)] + [("http://other.com/bad/1", None), (None, None)]
     got = urls.judge(spark.createDataFrame(rows, "url string, bad boolean"), []).collect()
@@ -441,9 +460,53 @@ def test_mix_of_odd_rows(spark):
     assert mixing.mix(df.where("false"), F.array("source"), mixing.seeded_key()).count() == 0
 
 
+def test_mix_of_overlapping_sources(spark):
+    """Documents of one or two sources: targets are met as far as words allow, and nobody is used more than twice."""
+    rng = random.Random(11)
+    rows = [(i, " ".join(["w"] * rng.randrange(0, 40)), [["a"], ["b"], ["a", "b"], ["c", "a"], ["c", None]][i % 5]) for i in range(600)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, s array<string>")
+    got = mixing.mix(df, F.col("s"), mixing.seeded_key()).toPandas()
+    again = mixing.mix(df.repartition(7), F.col("s"), mixing.seeded_key()).toPandas()
+    assert dict(zip(got.doc_id, got.uses, strict=True)) == dict(zip(again.doc_id, again.uses, strict=True))
+    assert (got.taken == got.uses * got["size"]).all() and (got.uses <= 2).all() and (got.uses[got["size"] == 0] == 0).all()
+    whole = got["size"].sum()
+    assert abs(got.taken.sum() - 1.5 * whole) <= 5 * 40
+    full = mixing.mix(df, F.col("s"), mixing.seeded_key(), share=2.0).toPandas()
+    assert (full.uses <= 2).all() and (full.uses[full["size"] == 0] == 0).all() and 1.9 * whole <= full.taken.sum() <= 2 * whole
+
+
 # 9: lines
 
 
+def test_short_passages_go_whole(spark):
+    """Every repeated passage of 50 words and two lines or more, whatever its length and what stands around it."""
+    rng = random.Random(16)
+    line = lambda n: " ".join(f"t{rng.randrange(10**6)}" for _ in range(n))
+    rows, want = [], {}
+    for i in range(120):
+        sizes = [60, 5] if i % 4 == 0 else [3, 20, 30] if i % 4 == 1 else [1, 55] if i % 4 == 2 else [rng.randrange(1, 30) for _ in range(12)] + [40]
+        passage = [line(n) for n in sizes]
+        for copy in range(2):
+            around = [[line(rng.randrange(1, 30)) for _ in range(rng.randrange(1, 6))] for _ in range(2)]
+            rows.append((2 * i + copy, "\n".join(around[0] + passage + around[1])))
+            want[2 * i + copy] = "\n".join(around[0] + passage * (not copy) + around[1])
+    rows.append((900, "\n".join([line(9)] * 60)))  # one line again and again: its first 50 words stay
+    got = {r.doc_id: r.text for r in lines.dedup_lines(spark.createDataFrame(rows, CLASH).repartition(3)).collect()}
+    assert {d: got[d] for d in want} == want
+    assert got[900] and set(got[900].split("\n")) == set(rows[-1][1].split("\n")) and len(got[900].split("\n")) < 30
+
+
+def test_lines_and_licences_of_a_very_long_text(spark):
+    """200,000 lines and 600,000 words end in time that grows as the text does."""
+    t = licenses.TEMPLATES["bsd"]
+    long = "\n".join(f"line {i} {i * 7919 % 1000003}" for i in range(200_000))
+    df = spark.createDataFrame([(1, long), (2, "intro\n" + long + "\n" + t), (3, "short")], CLASH)
+    got = {r.doc_id: r for r in lines.dedup_lines(df).collect()}
+    assert got[1].n_removed == 0 and got[1].text == long and got[2].n_removed == 200_000 and got[2].text == "intro\n" + t
+    found = {r.doc_id: list(r.licenses) for r in licenses.annotate(df).collect()}
+    assert found == {1: [], 2: ["bsd"], 3: []}
+
+
 def test_repeated_passages_go_from_all_but_the_first(spark):
     rng = random.Random(6)
     line = lambda: " ".join(f"t{rng.randrange(10**6)}" for _ in range(12))
@@ -477,7 +540,10 @@ def test_licences(spark):
     rows = [(1, noise + " " + t["apache-2.0-header"] + " " + noise), (2, f"{noise} released UNDER the MIT License. {noise}"), (3, noise), (4, changed), (5, "Licensed under CC BY-NC 4.0."), (6, "Licensed under something else entirely, version 2.0")]
     got = {r.doc_id: list(r.licenses) for r in licenses.annotate(spark.createDataFrame(rows, CLASH)).collect()}
     assert got == {1: ["apache-2.0-header", "apache-2.0-line"], 2: ["mit-line"], 3: [], 4: ["mit-notice"], 5: ["cc-by-nc-4.0"], 6: []}
-    assert licenses.annotate(odd(spark)).count() == len(ODD)
+    assert licenses.annotate(odd(spark)).count() == len(ODD) and sorted(licenses.annotate(odd(spark)).columns) == sorted(odd(spark).columns)
+    many = {f"t{i}": " ".join(f"l{i}w{k}" for k in range(6 + i % 30)) for i in range(2500)}  # more than a pass
+    found = licenses.annotate(spark.createDataFrame([(1, noise + " " + many["t7"]), (2, many["t2400"] + " x " + many["t1200"])], CLASH), many).collect()
+    assert {r.doc_id: list(r.licenses) for r in found} == {1: ["t7"], 2: ["t1200", "t2400"]}
     assert licenses.annotate(none(spark)).count() == licenses.annotate(none(spark), {}).count() == 0
 
 
@@ -521,6 +587,23 @@ def test_pipeline_stages(spark, voc):
     assert all(s.decode(list(r.pieces)) == text[r.doc_id] for r in last.itertuples())
 
 
+def test_pipeline_runs_on_odd_tables(spark, tmp_path):
+    """run() over null, empty, repeated and very long texts, columns with clashing names, and no rows at all."""
+    import corpus_pipeline as p
+
+    start = spark.read.parquet(f"{SF}/documents.parquet").limit(60)
+    names = ("size", "uses", "taken", "lang_pred", "score", "n_removed", "pieces", "lossless", "kept", "a.b")
+    strange = [(9001, "12 !!", None, None, 5), (9002, None, "en", None, 0), (9003, "", None, "x", 0), (None, "some words of a text " * 9, "en", None, 189), (9005, LONG, None, "x", len(LONG)), (9005, LONG, None, "x", len(LONG))]
+    rows = start.unionByName(spark.createDataFrame(strange, start.schema)).withColumns({c: F.lit(1) for c in names})
+    rows.write.parquet(f"{tmp_path}/all/documents.parquet")
+    rows.where("false").write.parquet(f"{tmp_path}/none/documents.parquet")
+    got = p.run(spark, f"{tmp_path}/all").toPandas()
+    assert len(got) and got.lossless.all() and not set(got.doc_id) & {9001, 9002, 9003} and got.groupby("doc_id").size().max() <= 2
+    assert p.run(spark, f"{tmp_path}/none").count() == 0
+    for _, stage in p.STAGES[:-1]:
+        assert stage(spark, spark.read.parquet(f"{tmp_path}/all/documents.parquet"), SF).columns == rows.columns
+
+
 def test_arcs_are_those_of_the_vocabulary(voc):
     word = "▁unbelievable日"
     _, start, end, k = lattice.Lattices(voc).arcs([word, "▁a"])

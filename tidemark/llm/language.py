@@ -3,11 +3,12 @@
 Each language has its own probabilities for the pieces of a fixed public vocabulary. A word's likelihood is
 the sum over all its segmentations, by the forward algorithm; a text's is the product over its words (no
 piece spans two words, so this equals the sum over segmentations of the whole text). The probabilities
-come from EM on word counts of a sample bounded by documents and words a language. The distinct words of a
+come from EM on all words of a sample bounded by documents a language. The distinct words of a
 block of texts are scored together, so a text costs a lookup for each of its words.
 
 A null text, or one without a letter, is ``und`` with score 0; ties go to the first language by name. A
-model learned from no rows calls everything ``und``. Repeated rows are each judged; no row is dropped.
+model learned from no rows calls everything ``und``. Repeated rows are each judged; no row is dropped. Extra
+columns pass through, but for columns of the results' names, which they replace.
 """
 
 from __future__ import annotations
@@ -17,17 +18,19 @@ from itertools import count, islice
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import slices
+from tidemark.llm.common import hidden, slices
 from tidemark.llm.lattice import Lattices, by_step, heads
 from tidemark.llm.vocab import SPACE_MARK, Vocabulary
 
-#: Bounds of the sample the model is fitted on, for each language.
-SAMPLE_DOCS, SAMPLE_WORDS = 1000, 4000
-#: The model is fitted on words of at most so many characters; any word is scored.
+#: Distinct texts of the sample the model is fitted on, for each language.
+SAMPLE_DOCS = 1000
+#: Longer words are fitted in parts of so many characters, to stay in a double's range; words are scored whole.
 FIT_CHARS = 40
+#: Characters of the words that EM holds at once.
+FIT_BLOCK = 1 << 17
 #: Words scored at once, and distinct words whose scores a worker remembers.
 BLOCK, MEMORY = 1 << 18, 200_000
 EM_ROUNDS, SMOOTH = 4, 0.02
@@ -119,30 +122,53 @@ class Model:
         return said
 
 
+def _parts(word: str) -> list[str]:
+    """The word with its space mark, cut every FIT_CHARS characters."""
+    return [SPACE_MARK * (not at) + word[at : at + FIT_CHARS] for at in range(0, len(word), FIT_CHARS)]
+
+
+class Block:
+    """Words that EM holds at once: their arcs, and their counts by language."""
+
+    def __init__(self, m: Model, words: list[str], n: np.ndarray):
+        size, self.start, self.end, self.k = m.lattices.arcs(words)
+        self.n, self.steps, self.last = n, by_step(size, self.end), np.cumsum(size + 1) - 1
+        self.first, self.word = self.last - size, np.repeat(np.arange(len(words)), size + 1)[self.end]
+
+    def expected(self, m: Model) -> np.ndarray:
+        """[pieces, languages]: how often each piece is used, over all segmentations."""
+        w, start, end = m.weights(self.k), self.start, self.end
+        alpha, beta = np.zeros((2, int(self.last[-1]) + 1, len(m.langs)))
+        alpha[self.first], beta[self.last] = 1.0, 1.0
+        for on in self.steps:
+            np.add.at(alpha, end[on], alpha[start[on]] * w[on])
+        for on in reversed(self.steps):
+            np.add.at(beta, start[on], beta[end[on]] * w[on])
+        share = alpha[start] * w * beta[end] * (self.n / np.maximum(alpha[self.last], 1e-300))[self.word]
+        c, real = np.zeros_like(m.p), self.k >= 0
+        np.add.at(c, self.k[real], share[real])
+        return c
+
+
 def fit(vocab: Vocabulary, counts: dict[str, dict[str, int]]) -> Model:
-    """EM over every segmentation of the counted words, all words and languages at once."""
+    """EM over every segmentation of the counted words, block by block, all languages at once."""
     langs = sorted(counts)
-    words = sorted({w for c in counts.values() for w in c if len(w) <= FIT_CHARS})
     m = Model(vocab, langs, np.zeros((len(vocab.pieces), len(langs))))
     m.p[list(vocab.ids.values())] = 1.0 / max(1, len(vocab.ids))
+    n: dict[str, np.ndarray] = defaultdict(lambda: np.zeros(len(langs)))
+    for g, lang in enumerate(langs):
+        for w, c in counts[lang].items():
+            for part in _parts(w):
+                n[part][g] += c
+    words, blocks = sorted(n), []
     if not words:
         return m
-    n = np.array([[counts[g].get(w, 0) for g in langs] for w in words], dtype=float)
-    size, start, end, k = m.lattices.arcs([SPACE_MARK + w for w in words])
-    steps, last = by_step(size, end), np.cumsum(size + 1) - 1
-    word = np.repeat(np.arange(len(words)), size + 1)[end]
-    real = k >= 0
+    of = np.cumsum([len(w) for w in words]) // FIT_BLOCK
+    for b in np.unique(of):
+        own = words[np.searchsorted(of, b) : np.searchsorted(of, b, side="right")]
+        blocks.append(Block(m, own, np.array([n[w] for w in own])))
     for _ in range(EM_ROUNDS):
-        w = m.weights(k)
-        alpha, beta = np.zeros((2, int(last[-1]) + 1, len(langs)))
-        alpha[last - size], beta[last] = 1.0, 1.0
-        for on in steps:
-            np.add.at(alpha, end[on], alpha[start[on]] * w[on])
-        for on in reversed(steps):
-            np.add.at(beta, start[on], beta[end[on]] * w[on])
-        share = alpha[start] * w * beta[end] * (n / np.maximum(alpha[last], 1e-300))[word]
-        c = np.zeros_like(m.p)
-        np.add.at(c, k[real], share[real])
+        c = sum(b.expected(m) for b in blocks)
         back = c.sum(1, keepdims=True) + 1e-2 * (m.p > 0).any(1, keepdims=True)
         back /= back.sum()
         each = c.sum(0, keepdims=True)
@@ -150,9 +176,9 @@ def fit(vocab: Vocabulary, counts: dict[str, dict[str, int]]) -> Model:
     return m
 
 
-def learn(df: DataFrame, vocab: Vocabulary, docs: int = SAMPLE_DOCS, words: int = SAMPLE_WORDS) -> Model:
-    """A model from df's text and lang: about ``docs`` distinct texts a language, the least by a hash of the text,
-    or all if there are fewer, and the ``words`` most frequent words of them."""
+def learn(df: DataFrame, vocab: Vocabulary, docs: int = SAMPLE_DOCS) -> Model:
+    """A model from df's text and lang: all words of about ``docs`` distinct texts a language, the least by a hash
+    of the text, or of all if there are fewer."""
     labelled = df.where("lang is not null and text is not null").select("lang", F.xxhash64("text").alias("h"), "text")
     texts = labelled.select("lang", "h").distinct().groupBy("lang").count().collect()
     if not texts:
@@ -162,10 +188,10 @@ def learn(df: DataFrame, vocab: Vocabulary, docs: int = SAMPLE_DOCS, words: int
     at = F.element_at(F.create_map(*[F.lit(x) if isinstance(x, str) else F.lit(x).cast("long") for pair in bounds.items() for x in pair]), F.col("lang"))
     sample = labelled.where(F.col("h") <= at).groupBy("lang", "h").agg(F.first("text").alias("text"))
     split = sample.select("lang", F.explode(F.split("text", r"\s+")).alias("w")).where("w <> ''").groupBy("lang", "w").count()
-    top = Window.partitionBy("lang").orderBy(F.desc("count"), "w")
     counts: dict[str, dict[str, int]] = {r["lang"]: {} for r in texts}
-    for r in split.withColumn("n", F.row_number().over(top)).where(F.col("n") <= words).collect():
-        counts[r["lang"]][r["w"]] = r["count"]
+    for b in split.toArrow().to_batches():
+        for g, w, n in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            counts[g][w] = n
     return fit(vocab, counts)
 
 
@@ -180,8 +206,8 @@ def identify(df: DataFrame, model: Model, keep: list[str] | None = None, prefix:
     def run(batches):
         m = shared.value
         for b in slices(batches):
-            said = m.judge(b.column("text").to_pylist())
-            cols = [b.column(c) for c in keep] + [pa.array([s[0] for s in said], pa.string()), pa.array([s[1] for s in said], pa.float64())]
+            said = m.judge(b.column("_tm_text").to_pylist())
+            cols = b.columns[: len(keep)] + [pa.array([s[0] for s in said], pa.string()), pa.array([s[1] for s in said], pa.float64())]
             yield pa.RecordBatch.from_arrays(cols, names=[*keep, *made])
 
-    return df.select(*keep, *["text"] * ("text" not in keep)).mapInArrow(run, schema)
+    return df.select(*hidden(df.select(*[f"`{c}`" for c in keep])), F.col("text").alias("_tm_text")).mapInArrow(run, schema)

@@ -8,20 +8,23 @@ probability under 0.81 ** 64 = 1.4e-6. A retrieved template matches if at least
 shingles are in the window.
 
 Texts and windows without any template's shingle can hold no match and are left out before hashing; that
-loses nothing. The template table is broadcast: its size is the library's, not the data's. Null, empty and
-short texts match nothing; repeated rows each get their own result. A column named licenses is replaced.
+loses nothing. Templates are broadcast, AT_ONCE of them in a pass; larger libraries take more passes. Windows
+are cut inside a row, so the work on a text is linear in its length. Null, empty and short texts match nothing;
+repeated rows each get their own result. A column named licenses is replaced; other columns pass through.
 """
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import lower_ascii, once
+from tidemark.llm.common import hidden, lower_ascii, once, shown
 
 SHINGLE, BANDS, SHARE = 5, 64, 80
-#: Most templates a library may have; it is broadcast.
-MOST = 10_000
+#: Templates that one pass seeks.
+AT_ONCE = 1000
 # Wordings of public licence notices.
 TEMPLATES: dict[str, str] = {
     "apache-2.0-line": "Licensed under the Apache License, Version 2.0",
@@ -63,9 +66,14 @@ def scan(df: DataFrame, templates: dict[str, str] | None = None) -> DataFrame:
 
     Rows alike in doc_id and text share one result row.
     """
-    templates, spark = TEMPLATES if templates is None else templates, df.sparkSession
-    if len(templates) > MOST:
-        raise ValueError(f"{len(templates)} templates; at most {MOST} can be broadcast")
+    names = list(templates := TEMPLATES if templates is None else templates)
+    passes = [_pass(df, {n: templates[n] for n in names[at : at + AT_ONCE]}) for at in range(0, max(1, len(names)), AT_ONCE)]
+    return functools.reduce(DataFrame.unionAll, passes).groupBy("doc_id", "_tm_rk").agg(F.array_sort(F.collect_set("name")).alias("licenses"))
+
+
+def _pass(df: DataFrame, templates: dict[str, str]) -> DataFrame:
+    """(doc_id, _tm_rk, name) of the matches."""
+    spark = df.sparkSession
     lib = spark.createDataFrame(list(templates.items()), "name string, t string")
     lib = lib.withColumn("w", words_of(F.col("t"))).withColumn("ts", F.array_distinct(shingles_of("w"))).where("size(ts) > 0").select("name", "ts")
     known = {r["name"]: list(r["ts"]) for r in lib.collect()}
@@ -78,19 +86,19 @@ def scan(df: DataFrame, templates: dict[str, str] | None = None) -> DataFrame:
     hashed = hashed.where(F.arrays_overlap("hs", literal({x for ts in by.values() for x in ts}))) if by else hashed.where("false")
     hashed = hashed.select("doc_id", rk.alias("_tm_rk"), "hs")
     kinds = F.array(*[F.struct(F.lit(c).alias("c"), literal(xs).alias("all")) for c, xs in sorted(by.items())]) if by else F.array().cast("array<struct<c:int,all:array<bigint>>>")
-    wins = hashed.select("*", F.explode(kinds).alias("k"))
-    wins = wins.select("doc_id", "_tm_rk", "k", "hs", F.explode(F.sequence(F.lit(1), F.size("hs"), F.col("k.c"))).alias("start"))
-    wins = wins.select("doc_id", "_tm_rk", "k", once(F.slice("hs", F.col("start"), 2 * F.col("k.c")), "win")).where(F.arrays_overlap("win", "k.all"))
-    wins = wins.withColumn("bands", bands_of(F.col("win"))).select("doc_id", "_tm_rk", F.col("k.c").alias("c"), "win", F.posexplode("bands").alias("b", "v"))
+    cut = lambda k: F.transform(F.sequence(F.lit(1), F.size("hs"), k["c"]), lambda i: F.struct(k["c"].alias("c"), F.slice("hs", i, 2 * k["c"]).alias("win")))
+    met = F.flatten(F.transform(kinds, lambda k: F.filter(cut(k), lambda x: F.arrays_overlap(x["win"], k["all"]))))
+    wins = hashed.select("doc_id", "_tm_rk", F.inline(met))
+    wins = wins.withColumn("bands", bands_of(F.col("win"))).select("doc_id", "_tm_rk", "c", "win", F.posexplode("bands").alias("b", "v"))
     index = spark.createDataFrame([(n, class_of(len(ts)), ts) for n, ts in known.items()], "name string, c int, ts array<bigint>")
     index = index.select("name", "c", "ts", F.posexplode(bands_of(F.col("ts"))).alias("b", "v"))
     hits = wins.join(F.broadcast(index), ["c", "b", "v"]).where(100 * F.size(F.array_intersect("win", "ts")) >= SHARE * F.size("ts"))
-    return hits.groupBy("doc_id", "_tm_rk").agg(F.array_sort(F.collect_set("name")).alias("licenses"))
+    return hits.select("doc_id", "_tm_rk", "name").distinct()
 
 
 def annotate(df: DataFrame, templates: dict[str, str] | None = None) -> DataFrame:
     """df with licenses: the sorted names of the templates found, empty if none."""
-    found = scan(df, templates).select("_tm_rk", "licenses")
+    found = scan(df.select("doc_id", "text"), templates).select("_tm_rk", "licenses")
     rk = F.concat_ws("-", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.md5("text"))
-    out = df.drop("licenses").withColumn("_tm_rk", rk).join(found, "_tm_rk", "left")
-    return out.withColumn("licenses", F.coalesce("licenses", F.array().cast("array<string>"))).drop("_tm_rk")
+    out = df.select(*hidden(df), rk.alias("_tm_rk")).join(found, "_tm_rk", "left")
+    return out.select(*shown(df, ("licenses",)), F.coalesce("licenses", F.array().cast("array<string>")).alias("licenses"))

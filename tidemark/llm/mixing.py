@@ -6,10 +6,11 @@ the one before, so nothing repeats while fresh tokens are left. Within a pattern
 whole uses, and a seeded prefix of the documents takes one more, cut where it comes nearest the flow.
 
 The driver holds one row per pattern and solves the flow there; documents are only aggregated and joined
-to it. The seeded order is never sorted as a whole: sums over 4,096 hash buckets find the bucket the cut
-falls into, and only that bucket's rows are ordered. Null sources form a source of their own; documents
-without words take nothing; equal rows are told apart only by their place in the order, which is the same
-whichever of them comes first.
+to it. The texts are read twice: for a narrow table of keys and sizes, and for the result. The seeded order is
+never sorted as a whole: sums over 4,096 hash buckets find the bucket the cut falls into, and only that bucket's
+keys are ordered. Null sources form a source of their own; a row without any source is a pattern without a quota
+and takes nothing; documents without words are not used. Rows alike in the order's key are taken alike. Extra
+columns pass through, but for columns of the results' names, which they replace.
 """
 
 from __future__ import annotations
@@ -19,9 +20,9 @@ from collections import defaultdict, deque
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import hidden, shown, word_count
+from tidemark.llm.common import Scratch, hidden, shown, word_count
 
-#: More plan rows than this are joined by a shuffle instead of a broadcast.
+#: More plan rows than this are joined by a shuffle instead of a broadcast; the result is the same.
 BROADCAST_ROWS = 20_000
 
 
@@ -102,7 +103,8 @@ def mix(df: DataFrame, sources: Column, order_key: Column, weights: tuple = (5,
     spark = df.sparkSession
     sized = df.select(*hidden(df), word_count(F.col("text")).alias("size"), F.array_sort(F.array_distinct(sources)).alias("_set"), order_key.alias("_key"))
     sized = sized.withColumn("pattern", F.to_json(F.struct(F.col("_set").alias("s")))).withColumn("_bucket", F.conv(F.substring("_key", 1, 3), 16, 10).cast("int"))
-    sums = sized.groupBy("pattern", "_bucket").agg(F.first("_set").alias("_set"), F.sum("size").alias("n"))
+    narrow = Scratch(spark, "mix").keep(sized.select("_set", "pattern", "_bucket", "_key", "size"), "sizes")
+    sums = narrow.groupBy("pattern", "_bucket").agg(F.first("_set").alias("_set"), F.sum("size").alias("n"))
     rows = sums.groupBy("pattern").agg(F.first("_set").alias("s"), F.sum("n").alias("n")).collect()
     patterns = {tuple(r["s"]): int(r["n"]) for r in rows}
     names = sorted({s for p in patterns for s in p}, key=lambda s: (s is None, s or ""))
@@ -115,20 +117,22 @@ def mix(df: DataFrame, sources: Column, order_key: Column, weights: tuple = (5,
         for r in rows
     ]
     plan = spark.createDataFrame(plan, "pattern string, source_size long, target double, whole long, rest long")
-    plan = F.broadcast(plan) if len(rows) <= BROADCAST_ROWS else plan
-    # The bucket in which the running sum passes the rest, and the sum before it.
+    small = len(rows) <= BROADCAST_ROWS
+    plan = F.broadcast(plan) if small else plan
+    # The bucket in which the running sum passes the rest, and the last key of it whose place is nearer below.
     by = Window.partitionBy("pattern").orderBy("_bucket")
-    cuts = sums.withColumn("upto", F.sum("n").over(by)).join(plan.select("pattern", "rest"), "pattern")
-    cuts = cuts.where("upto > rest").groupBy("pattern").agg(F.min(F.struct("_bucket", (F.col("upto") - F.col("n")).alias("before"))).alias("cut"))
-    cuts = F.broadcast(cuts) if len(rows) <= BROADCAST_ROWS else cuts
-    told = sized.join(plan, "pattern").join(cuts, "pattern", "left")
-    side = F.when(F.col("cut").isNull() | (F.col("_bucket") > F.col("cut._bucket")), 0).when(F.col("_bucket") < F.col("cut._bucket"), 1).otherwise(2)
-    told = told.withColumn("_side", side)
-    inside = Window.partitionBy("pattern").orderBy("_key", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    edge = told.where("_side = 2").withColumn("_upto", F.col("cut.before") + F.sum("size").over(inside))
-    edge = edge.withColumn("_more", (2 * F.col("_upto") - F.col("size") <= 2 * F.col("rest")).cast("long")).drop("_upto")
-    flat = told.where("_side <> 2").withColumn("_more", F.col("_side").cast("long"))
-    out = flat.unionByName(edge).withColumn("uses", F.col("whole") + F.col("_more")).withColumn("taken", F.col("uses") * F.col("size"))
+    cuts = sums.withColumn("upto", F.sum("n").over(by)).join(plan.select("pattern", "rest"), "pattern").where("upto > rest")
+    cuts = cuts.groupBy("pattern", "rest").agg(F.min(F.struct("_bucket", (F.col("upto") - F.col("n")).alias("before"))).alias("cut"))
+    cuts = cuts.select("pattern", "rest", "cut.*")
+    inside = Window.partitionBy("pattern").orderBy("_key").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    keys = narrow.join(F.broadcast(cuts) if small else cuts, ["pattern", "_bucket"]).groupBy("pattern", "rest", "before", "_key").agg(F.sum("size").alias("size"))
+    near = keys.withColumn("upto", F.col("before") + F.sum("size").over(inside)).where("2 * upto - size <= 2 * rest")
+    last = near.groupBy("pattern").agg(F.max("_key").alias("last"))
+    cuts = cuts.select("pattern", F.col("_bucket").alias("cut")).join(last, "pattern", "left")
+    told = sized.join(plan, "pattern").join(F.broadcast(cuts) if small else cuts, "pattern", "left")
+    more = (F.col("_bucket") < F.col("cut")) | ((F.col("_bucket") == F.col("cut")) & (F.col("_key") <= F.col("last")))
+    uses = F.col("whole") + F.coalesce(more, F.lit(False)).cast("long")
+    out = told.withColumn("uses", F.when(F.col("size") > 0, uses).otherwise(0)).withColumn("taken", F.col("uses") * F.col("size"))
     made = ("pattern", "size", "source_size", "target", "uses", "taken")
     return out.select(*shown(df, tuple(prefix + m for m in made)), *[F.col(m).alias(prefix + m) for m in made])
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import slices
+from tidemark.llm.common import hidden, slices
 from tidemark.llm.lattice import Lattices, by_step, heads, mix
 from tidemark.llm.vocab import SPACE_MARK, Vocabulary
 
@@ -193,7 +193,7 @@ def encode(df: DataFrame, vocab: Vocabulary, key: str = "doc_id", seed: int = 0,
             held.append(Sampler(shared.value))
         s = held[0]
         for b in slices(batches):
-            texts = b.column("text").to_pylist()
+            texts = b.column("_tm_text").to_pylist()
             got = s.encode(texts, row_keys(b.column("_tm_key").to_pylist(), seed))
             rows = []
             for t, ids in zip(texts, got, strict=True):
@@ -203,11 +203,11 @@ def encode(df: DataFrame, vocab: Vocabulary, key: str = "doc_id", seed: int = 0,
                 raw, back = t.encode("utf-8", "surrogatepass"), s.decode(ids.tolist())
                 rows.append((len(ids), zlib.crc32(ids.astype("<i4").tobytes()), zlib.crc32(raw), zlib.crc32(back.encode("utf-8", "surrogatepass")), back == t))
             n, crc, tc, dc, ok = zip(*rows, strict=True) if rows else ([],) * 5
-            cols = [b.column(c) for c in keep] + [pa.array(list(x), pa.int64()) for x in (n, crc, tc, dc)] + [pa.array(list(ok), pa.bool_())]
+            cols = b.columns[: len(keep)] + [pa.array(list(x), pa.int64()) for x in (n, crc, tc, dc)] + [pa.array(list(ok), pa.bool_())]
             if keep_ids:
                 flat = np.concatenate([np.empty(0, np.int32), *[i for i in got if i is not None]])
                 ends = np.cumsum([0] + [0 if i is None else len(i) for i in got]).astype(np.int32)
                 cols.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(flat), mask=pa.array([i is None for i in got])) if got else pa.array([], pa.list_(pa.int32())))
             yield pa.RecordBatch.from_arrays(cols, names=names)
 
-    return df.select(*keep, F.col(key).alias("_tm_key"), "text").mapInArrow(run, schema)
+    return df.select(*hidden(df.select(*[f"`{c}`" for c in keep])), F.col(f"`{key}`").alias("_tm_key"), F.col("text").alias("_tm_text")).mapInArrow(run, schema)

@@ -1,22 +1,27 @@
 """URL filters: suffix rules first, then a path-template tree judged by labelled purity. [native]
 
-Per host, digits in path segments become ``#``, segments beyond ``DEPTH`` become ``**``, and a segment with
-nearly as many values as pages becomes ``*``. From the leaves up, a template whose labelled bad share does
-not differ from that of its siblings (two-proportion chi-square) merges into their parent; one that
-differs stands alone. A group is blocked if its bad share, smoothed towards the global share, passes a
-half. Only template counts are joined and windowed, never pages; pages get their verdict by a join on
-(host, template).
+Per host, digits in path segments become ``#`` and a segment with nearly as many values as pages becomes ``*``,
+from the root down. A template that no other one follows any further ends there. From the leaves up, a template
+whose labelled bad share does not differ from that of its siblings (two-proportion chi-square) merges into their
+parent; one that differs stands alone. A group is blocked if its bad share, smoothed towards the global share,
+passes a half. Only template counts are joined and grouped, never pages; pages get their verdict by a join on
+(host, template). Levels go on until no two templates of a host share a longer prefix; each is summed by groups
+and written, so neither a host nor a plan grows beyond a task.
 
 A null url, or one without ``://``, has empty host and path and is judged as that host's one template.
-Repeated urls are judged alike. Without labels everything that no rule blocks is allowed.
+Repeated urls are judged alike. Without labels everything that no rule blocks is allowed. Extra columns pass
+through; columns named host, path, rule, template or verdict are replaced.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import functools
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-DEPTH = 4
+from tidemark.llm.common import Scratch, hidden, shown
+
 MANY = 20
 ALPHA = 4
 #: 95 % point of chi-square with one degree of freedom, times 100.
@@ -39,46 +44,74 @@ def rule_of(host: Column, path: Column, rules: list[tuple[str, str, str]]) -> tu
 
 
 def lexical_template(path: Column) -> Column:
-    """Array of at most DEPTH + 1 segments."""
-    segs = F.split(F.regexp_replace(F.regexp_replace(path, "^/", ""), "[0-9]+", "#"), "/", -1)
-    return F.when(F.size(segs) > DEPTH, F.concat(F.slice(segs, 1, DEPTH), F.array(F.lit("**")))).otherwise(segs)
-
-
-def template_groups(counts: DataFrame) -> DataFrame:
-    """counts (host, t array, n, lab, bad; one row each) with g: the template group each belongs to."""
-    tree = counts.withColumn("g", F.col("t"))
-    for k in range(1, DEPTH + 1):  # segments with nearly as many values as pages
-        by = Window.partitionBy("host", F.slice("g", 1, k - 1), F.size("g") >= k)
-        here = F.try_element_at("g", F.lit(k))
-        wild = (F.size("g") >= k) & (F.size(F.collect_set(here).over(by)) > MANY) & (2 * F.size(F.collect_set(here).over(by)) > F.sum("n").over(by))
-        tree = tree.withColumn("_w", wild).withColumn("g", F.when(F.col("_w"), F.concat(F.slice("g", 1, k - 1), F.array(F.lit("*")), F.slice("g", k + 1, DEPTH + 1))).otherwise(F.col("g"))).drop("_w")
-    tree = tree.withColumn("kept", F.lit(False))
-    for k in range(DEPTH + 1, 0, -1):  # merge from the leaves up
-        at = ~F.col("kept") & (F.size("g") == k)
-        own, all_ = Window.partitionBy("host", "g", "kept"), Window.partitionBy("host", F.slice("g", 1, k - 1), at)
-        n1, b1 = (F.sum(c).over(own).cast("double") for c in ("lab", "bad"))
-        n, b = (F.sum(c).over(all_).cast("double") for c in ("lab", "bad"))
-        tree = tree.withColumns({"_n1": n1, "_b1": b1, "_n": n, "_b": b})
-        n2, b2 = F.col("_n") - F.col("_n1"), F.col("_b") - F.col("_b1")
-        gap = F.col("_b1") * n2 - b2 * F.col("_n1")
-        differs = 100 * gap * gap * F.col("_n") > CHI2 * F.col("_n1") * n2 * F.col("_b") * (F.col("_n") - F.col("_b"))
-        tree = tree.withColumn("kept", F.col("kept") | (at & differs))
-        tree = tree.withColumn("g", F.when(~F.col("kept") & (F.size("g") == k), F.slice("g", 1, k - 1)).otherwise(F.col("g"))).drop("_n1", "_b1", "_n", "_b")
-    return tree.drop("kept")
+    """Array of segments."""
+    return F.split(F.regexp_replace(F.regexp_replace(path, "^/", ""), "[0-9]+", "#"), "/", -1)
+
+
+def _head(k: int) -> Column:
+    return F.slice("g", 1, k)
+
+
+_all = functools.partial(functools.reduce, DataFrame.unionAll)
+
+
+def _generalised(scratch: Scratch, counts: DataFrame) -> tuple[DataFrame, int]:
+    """((host, t, g, lab, bad): t with wildcards, as far as another template follows it; the most segments of g)."""
+    live, ended, k = counts.withColumn("g", F.col("t")), [], 0
+    while not k or not live.isEmpty():
+        k += 1
+        values = live.groupBy("host", _head(k - 1).alias("p"), F.get("g", F.lit(k - 1)).alias("v")).agg(F.sum("n").alias("n"))
+        wild = values.groupBy("host", "p").agg(F.count("*").alias("d"), F.sum("n").alias("n")).where((F.col("d") > MANY) & (2 * F.col("d") > F.col("n")))
+        here = live.withColumn("p", _head(k - 1)).join(wild.select("host", "p", F.lit(True).alias("wild")), ["host", "p"], "left")
+        star = F.concat("p", F.array(F.lit("*")), F.slice("g", k + 1, F.size("g")))
+        here = here.withColumn("g", F.when(F.col("wild"), star).otherwise(F.col("g"))).withColumn("p", _head(k)).drop("wild")
+        here = scratch.keep(here, "level")
+        alone = here.groupBy("host", "p").agg(F.count("*").alias("c"))
+        told = scratch.keep(here.join(alone, ["host", "p"]).withColumn("ends", (F.col("c") == 1) | (F.size("g") == k)).drop("p", "c"), "level")
+        ended.append(told.where("ends").select("host", "t", _head(k).alias("g"), "lab", "bad"))
+        live = told.where("not ends").drop("ends")
+    return _all(ended), k
+
+
+def template_groups(scratch: Scratch, counts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of counts (host, t array, n, lab, bad; one row each): ((host, t, g): the group each template belongs to;
+    (host, g, lab, bad) of each group)."""
+    tree, depth = _generalised(scratch, counts)
+    tree, kept, up = scratch.keep(tree, "tree"), [], None
+    for k in range(depth, 0, -1):
+        own = tree.where(F.size("g") == k).select("host", "g", "lab", "bad")
+        own = (own if up is None else own.unionAll(up)).groupBy("host", "g").agg(F.sum("lab").alias("lab"), F.sum("bad").alias("bad"))
+        own = scratch.keep(own.withColumn("p", _head(k - 1)), "own")
+        whole = own.groupBy("host", "p").agg(F.sum("lab").cast("double").alias("nn"), F.sum("bad").cast("double").alias("bb"))
+        n1, b1 = F.col("lab").cast("double"), F.col("bad").cast("double")
+        n2, b2 = F.col("nn") - n1, F.col("bb") - b1
+        gap = b1 * n2 - b2 * n1
+        differs = 100 * gap * gap * F.col("nn") > CHI2 * n1 * n2 * F.col("bb") * (F.col("nn") - F.col("bb"))
+        judged = own.join(whole, ["host", "p"]).withColumn("differs", differs)
+        kept.append(judged.where("differs").select("host", "g", "lab", "bad"))
+        up = judged.where("not differs").select("host", F.col("p").alias("g"), "lab", "bad")
+    root = up.groupBy("host", "g").agg(F.sum("lab").alias("lab"), F.sum("bad").alias("bad"))
+    alone = scratch.keep(_all(kept), "kept")
+    heads = tree.select("host", "t", "g", F.explode(F.sequence(F.lit(1), F.size("g"))).alias("k")).select("host", "t", "k", F.slice("g", F.lit(1), F.col("k")).alias("g"))
+    deepest = heads.join(alone.select("host", "g"), ["host", "g"]).groupBy("host", "t").agg(F.max_by("g", "k").alias("g"))
+    of = tree.select("host", "t").join(deepest, ["host", "t"], "left").withColumn("g", F.coalesce("g", F.array().cast("array<string>")))
+    return of, alone.unionAll(root)
 
 
 def judge(pages: DataFrame, rules: list[tuple[str, str, str]]) -> DataFrame:
     """pages (url and a nullable boolean ``bad`` label) with host, path, rule, template and verdict."""
+    scratch = Scratch(pages.sparkSession, "urls")
     host, path = host_and_path(F.col("url"))
-    rows = pages.withColumn("host", host).withColumn("path", path).withColumn("_t", lexical_template(F.col("path")))
+    rows = pages.select(*hidden(pages), F.col("bad").alias("_bad"), host.alias("host"), path.alias("path")).withColumn("t", lexical_template(F.col("path")))
     lab = lambda c: F.sum(F.coalesce(c.cast("long"), F.lit(0).cast("long")))
-    counts = rows.groupBy("host", F.col("_t").alias("t")).agg(F.count("*").alias("n"), F.count("bad").alias("lab"), lab(F.col("bad")).alias("bad"))
-    tree = template_groups(counts)
+    counts = scratch.keep(rows.groupBy("host", "t").agg(F.count("*").alias("n"), F.count("_bad").alias("lab"), lab(F.col("_bad")).alias("bad")), "counts")
+    of, groups = template_groups(scratch, counts)
     all_lab, all_bad = (x or 0 for x in counts.agg(F.sum("lab"), F.sum("bad")).first())
-    groups = tree.groupBy("host", "g").agg(F.sum("lab").alias("lab"), F.sum("bad").alias("bad"))
     block = 2 * (F.col("bad") * all_lab + ALPHA * all_bad) > (F.col("lab") + ALPHA) * all_lab
-    groups = groups.select("host", "g", block.alias("_block"))
-    verdicts = tree.select("host", F.col("t").alias("_t"), "g").join(groups, ["host", "g"]).select("host", "_t", F.concat(F.lit("/"), F.array_join("g", "/")).alias("template"), "_block")
+    verdicts = of.join(groups.select("host", "g", block.alias("block")), ["host", "g"])
+    verdicts = scratch.keep(verdicts.select("host", "t", F.concat(F.lit("/"), F.array_join("g", "/")).alias("template"), "block"), "verdicts")
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
-    out = rows.join(verdicts, ["host", "_t"], "left").withColumn("rule", rule)
-    return out.withColumn("verdict", F.coalesce(verdict, F.when(F.col("_block"), "block").otherwise("allow"))).drop("_t", "_block")
+    out = rows.join(verdicts, ["host", "t"], "left").withColumn("rule", rule)
+    out = out.withColumn("verdict", F.coalesce(verdict, F.when(F.col("block"), "block").otherwise("allow")))
+    made = ("host", "path", "rule", "template", "verdict")
+    return out.select(*shown(pages, made), *made)
