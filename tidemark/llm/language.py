@@ -14,6 +14,7 @@ columns pass through, but for columns of the results' names, which they replace.
 from __future__ import annotations
 
 from collections import defaultdict
+from collections.abc import Callable
 from itertools import count, islice
 
 import numpy as np
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import hidden, slices
+from tidemark.llm.common import Scratch, hidden, slices
 from tidemark.llm.lattice import Lattices, by_step, heads
 from tidemark.llm.vocab import SPACE_MARK, Vocabulary
 
@@ -29,8 +30,8 @@ from tidemark.llm.vocab import SPACE_MARK, Vocabulary
 SAMPLE_DOCS = 1000
 #: Longer words are fitted in parts of so many characters, to stay in a double's range; words are scored whole.
 FIT_CHARS = 40
-#: Characters of the words that EM holds at once.
-FIT_BLOCK = 1 << 17
+#: Characters of the words that a worker fits at once.
+FIT_BLOCK = 1 << 16
 #: Words scored at once, and distinct words whose scores a worker remembers.
 BLOCK, MEMORY = 1 << 18, 200_000
 EM_ROUNDS, SMOOTH = 4, 0.02
@@ -127,48 +128,34 @@ def _parts(word: str) -> list[str]:
     return [SPACE_MARK * (not at) + word[at : at + FIT_CHARS] for at in range(0, len(word), FIT_CHARS)]
 
 
-class Block:
-    """Words that EM holds at once: their arcs, and their counts by language."""
-
-    def __init__(self, m: Model, words: list[str], n: np.ndarray):
-        size, self.start, self.end, self.k = m.lattices.arcs(words)
-        self.n, self.steps, self.last = n, by_step(size, self.end), np.cumsum(size + 1) - 1
-        self.first, self.word = self.last - size, np.repeat(np.arange(len(words)), size + 1)[self.end]
-
-    def expected(self, m: Model) -> np.ndarray:
-        """[pieces, languages]: how often each piece is used, over all segmentations."""
-        w, start, end = m.weights(self.k), self.start, self.end
-        alpha, beta = np.zeros((2, int(self.last[-1]) + 1, len(m.langs)))
-        alpha[self.first], beta[self.last] = 1.0, 1.0
-        for on in self.steps:
-            np.add.at(alpha, end[on], alpha[start[on]] * w[on])
-        for on in reversed(self.steps):
-            np.add.at(beta, start[on], beta[end[on]] * w[on])
-        share = alpha[start] * w * beta[end] * (self.n / np.maximum(alpha[self.last], 1e-300))[self.word]
-        c, real = np.zeros_like(m.p), self.k >= 0
-        np.add.at(c, self.k[real], share[real])
-        return c
-
-
-def fit(vocab: Vocabulary, counts: dict[str, dict[str, int]]) -> Model:
-    """EM over every segmentation of the counted words, block by block, all languages at once."""
-    langs = sorted(counts)
+def expected(m: Model, words: list[str], n: np.ndarray) -> np.ndarray:
+    """[pieces, languages]: how often each piece is used by the words, which occur n [words, languages] times, over
+    all segmentations."""
+    size, start, end, k = m.lattices.arcs(words)
+    steps, last = by_step(size, end), np.cumsum(size + 1) - 1
+    word, w = np.repeat(np.arange(len(words)), size + 1)[end], m.weights(k)
+    alpha, beta = np.zeros((2, int(last[-1]) + 1, len(m.langs)))
+    alpha[last - size], beta[last] = 1.0, 1.0
+    for on in steps:
+        np.add.at(alpha, end[on], alpha[start[on]] * w[on])
+    for on in reversed(steps):
+        np.add.at(beta, start[on], beta[end[on]] * w[on])
+    share = alpha[start] * w * beta[end] * (n / np.maximum(alpha[last], 1e-300))[word]
+    c, real = np.zeros_like(m.p), k >= 0
+    np.add.at(c, k[real], share[real])
+    return c
+
+
+def _even(vocab: Vocabulary, langs: list[str]) -> Model:
     m = Model(vocab, langs, np.zeros((len(vocab.pieces), len(langs))))
     m.p[list(vocab.ids.values())] = 1.0 / max(1, len(vocab.ids))
-    n: dict[str, np.ndarray] = defaultdict(lambda: np.zeros(len(langs)))
-    for g, lang in enumerate(langs):
-        for w, c in counts[lang].items():
-            for part in _parts(w):
-                n[part][g] += c
-    words, blocks = sorted(n), []
-    if not words:
-        return m
-    of = np.cumsum([len(w) for w in words]) // FIT_BLOCK
-    for b in np.unique(of):
-        own = words[np.searchsorted(of, b) : np.searchsorted(of, b, side="right")]
-        blocks.append(Block(m, own, np.array([n[w] for w in own])))
+    return m
+
+
+def _em(m: Model, used: Callable[[], np.ndarray]) -> Model:
+    """EM_ROUNDS over what ``used`` tells by m's probabilities; pieces a language lacks are smoothed by all."""
     for _ in range(EM_ROUNDS):
-        c = sum(b.expected(m) for b in blocks)
+        c = used()
         back = c.sum(1, keepdims=True) + 1e-2 * (m.p > 0).any(1, keepdims=True)
         back /= back.sum()
         each = c.sum(0, keepdims=True)
@@ -176,23 +163,60 @@ def fit(vocab: Vocabulary, counts: dict[str, dict[str, int]]) -> Model:
     return m
 
 
+def fit(vocab: Vocabulary, counts: dict[str, dict[str, int]]) -> Model:
+    """A model from word counts by language, in memory."""
+    m = _even(vocab, sorted(counts))
+    parts = [(p, [counts[g].get(w, 0) for g in m.langs]) for w in sorted({w for c in counts.values() for w in c}) for p in _parts(w)]
+    return _em(m, lambda: expected(m, [p for p, _ in parts], np.array([n for _, n in parts], dtype=float))) if parts else m
+
+
+def _round(m: Model, words: DataFrame) -> np.ndarray:
+    """expected over the table of words (w, n), summed by Spark."""
+    shared, kinds = words.sparkSession.sparkContext.broadcast(m), len(m.langs)
+
+    def run(batches):
+        own, c = shared.value, 0.0
+        for b in batches:
+            parts, rows = [], []
+            for w, n in zip(b.column("w").to_pylist(), b.column("n").to_pylist(), strict=True):
+                cut = _parts(w)
+                parts.extend(cut), rows.extend([n] * len(cut))
+            ends = np.cumsum([len(p) for p in parts]) // FIT_BLOCK
+            for x in np.unique(ends):
+                at, to = np.searchsorted(ends, x), np.searchsorted(ends, x, side="right")
+                c = c + expected(own, parts[at:to], np.array(rows[at:to]))
+        if not np.isscalar(c):
+            k = np.flatnonzero(c.any(axis=1))
+            yield pa.RecordBatch.from_arrays([pa.array(k), *(pa.array(c[k, g]) for g in range(kinds))], names=["k", *(f"c{g}" for g in range(kinds))])
+
+    sums = [F.sum(f"c{g}").alias(f"c{g}") for g in range(kinds)]
+    got = words.mapInArrow(run, "k long" + "".join(f", c{g} double" for g in range(kinds))).groupBy("k").agg(*sums).toArrow()
+    c = np.zeros_like(m.p)
+    c[np.asarray(got.column("k"))] = np.stack([np.asarray(got.column(f"c{g}")) for g in range(kinds)], axis=1)
+    return c
+
+
 def learn(df: DataFrame, vocab: Vocabulary, docs: int = SAMPLE_DOCS) -> Model:
-    """A model from df's text and lang: all words of about ``docs`` distinct texts a language, the least by a hash
-    of the text, or of all if there are fewer."""
+    """A model from df's text and lang, by EM over all words of about ``docs`` distinct texts a language, the least by
+    a hash of the text, or of all if there are fewer. Words stay in Spark; the driver gets sums by piece."""
     labelled = df.where("lang is not null and text is not null").select("lang", F.xxhash64("text").alias("h"), "text")
     texts = labelled.select("lang", "h").distinct().groupBy("lang").count().collect()
-    if not texts:
-        return Model(vocab, [], np.zeros((len(vocab.pieces), 0)))
+    langs = sorted(r["lang"] for r in texts)
+    m = _even(vocab, langs)
+    if not langs:
+        return m
     # Hashes are uniform: below this one lie about ``docs`` of a language's distinct texts.
     bounds = {r["lang"]: min(2**63 - 1, -(2**63) + 2**64 * docs // r["count"]) for r in texts}
     at = F.element_at(F.create_map(*[F.lit(x) if isinstance(x, str) else F.lit(x).cast("long") for pair in bounds.items() for x in pair]), F.col("lang"))
     sample = labelled.where(F.col("h") <= at).groupBy("lang", "h").agg(F.first("text").alias("text"))
-    split = sample.select("lang", F.explode(F.split("text", r"\s+")).alias("w")).where("w <> ''").groupBy("lang", "w").count()
-    counts: dict[str, dict[str, int]] = {r["lang"]: {} for r in texts}
-    for b in split.toArrow().to_batches():
-        for g, w, n in zip(*(c.to_pylist() for c in b.columns), strict=True):
-            counts[g][w] = n
-    return fit(vocab, counts)
+    each = sample.select("lang", F.explode(F.split("text", r"\s+")).alias("w")).where("w <> ''")
+    count = F.array(*[F.sum((F.col("lang") == g).cast("double")) for g in langs])
+    scratch = Scratch(df.sparkSession, "language")
+    words = scratch.keep(each.groupBy("w").agg(count.alias("n")), "words")
+    if not words.isEmpty():
+        _em(m, lambda: _round(m, words))
+    scratch.drop(words)
+    return m
 
 
 def identify(df: DataFrame, model: Model, keep: list[str] | None = None, prefix: str = "") -> DataFrame:
