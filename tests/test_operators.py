@@ -9,6 +9,7 @@ from tidemark.functions import keys
 from tidemark.operators import align, chunks, lookup, match, runs, vote
 from tidemark.plans import versions
 
+# Literal vectors that results must match.
 S = ["section"]
 
 

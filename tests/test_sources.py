@@ -4,6 +4,8 @@ import pytest
 
 from tidemark.sources import symbols
 
+# Literal vectors that results must match.
+
 
 def test_breakpad(spark, tmp_path):
     (tmp_path / "good.sym").write_text("MODULE Linux x86_64 0 a\nFUNC 1000 20 0 foo(int)\nFUNC m 1040 8 0 bar\n1000 4 1 1\n")

@@ -31,27 +31,38 @@ def chunk_tree_hash(chunks: DataFrame, by: list[str]) -> DataFrame:
 
 
 @functools.cache
-def _gear(seed: int = 0x5EED) -> list[int]:
-    return np.random.default_rng(seed).integers(0, 2**63, 256, dtype=np.int64).tolist()
+def _gear() -> np.ndarray:
+    """256 random words of a seeded generator, so that cuts can be compared."""
+    return np.random.default_rng(0x5EED).integers(0, 2**64, 256, dtype=np.uint64)
+
+
+def gear_hashes(data: np.ndarray) -> np.ndarray:
+    """At each byte the sum of the last 64 bytes' words, each shifted by its distance; by doubling the reach."""
+    h, reach = _gear()[data], 1
+    while reach < 64:
+        far = h.copy()
+        far[reach:] += h[:-reach] << np.uint64(reach)
+        h, reach = far, 2 * reach
+    return h
 
 
 def cut_points(data: bytes, average: int) -> list[int]:
-    """Ends of content-defined chunks: a rolling hash of 64 bytes ends a chunk where masked bits are zero: two
-    more bits than the average asks before it, two fewer after; a quarter and four times it are the bounds."""
-    gear, bits, full = _gear(), average.bit_length() - 1, (1 << 64) - 1
-    strict, loose = (((1 << b) - 1) << 40 - b for b in (bits + 2, bits - 2))
-    ends, start = [], 0
-    while start < len(data):
-        stop, at, h = min(start + 4 * average, len(data)), min(start + average // 4, len(data)), 0
-        for at in range(at, stop):
-            h = (h << 1) + gear[data[at]] & full
-            if not h & (strict if at - start < average else loose):
-                break
-        else:
-            at = stop - 1
-        ends.append(at + 1)
-        start = at + 1
-    return ends
+    """Ends of content-defined chunks, where masked bits of the gear hash are zero: two more bits than the average
+    asks up to it, two fewer beyond; a quarter and four times it are the bounds."""
+    raw = np.frombuffer(data, dtype=np.uint8)
+    h, bits, n = gear_hashes(raw), average.bit_length() - 1, len(raw)
+    strict, loose = (np.flatnonzero((h & np.uint64(((1 << b) - 1) << 40)) == 0) for b in (bits + 2, bits - 2))
+    ends, at = [], 0
+
+    def first(among: np.ndarray, lo: int, hi: int) -> int | None:
+        i = np.searchsorted(among, lo)
+        return int(among[i]) + 1 if i < len(among) and among[i] < hi else None
+
+    while n - at > average // 4:
+        most = min(at + 4 * average, n)
+        at = first(strict, at + average // 4, min(at + average, n)) or first(loose, at + average, most) or most
+        ends.append(at)
+    return ends if at == n else [*ends, n]
 
 
 def content_chunks(rows: DataFrame, average: int, by: list[str], data: str = "data") -> DataFrame:

@@ -14,20 +14,20 @@ from pyspark.sql import functions as F
 BUCKET = 4096
 
 
-def _bucket(c: Column | str) -> Column:
+def bucket(c: Column | str) -> Column:
     return F.floor((F.col(c) if isinstance(c, str) else c) / BUCKET).cast("long")
 
 
-def _spread(intervals: DataFrame, start: str, end: Column) -> DataFrame:
+def spread(intervals: DataFrame, start: str, end: Column) -> DataFrame:
     """Each interval once for each bucket it touches."""
-    return intervals.where(end > F.col(start)).withColumn("_b", F.explode(F.sequence(_bucket(start), _bucket(end - 1))))
+    return intervals.where(end > F.col(start)).withColumn("_b", F.explode(F.sequence(bucket(start), bucket(end - 1))))
 
 
 def interval_lookup(probes: DataFrame, maps: DataFrame, by: list[str], at: str = "addr") -> DataFrame:
     """probes with target: through the map (src, src_size, dst, dst_size) that holds the address, if the place in
     it is below dst_size. Maps are disjoint."""
-    side = _spread(maps.select(*by, "src", "src_size", "dst", "dst_size"), "src", F.col("src") + F.col("src_size"))
-    p = probes.withColumn("_b", _bucket(at))
+    side = spread(maps.select(*by, "src", "src_size", "dst", "dst_size"), "src", F.col("src") + F.col("src_size"))
+    p = probes.withColumn("_b", bucket(at))
     cond = [F.col(f"p.{c}") == F.col(f"m.{c}") for c in [*by, "_b"]] + [F.col(at) >= F.col("src"), F.col(at) < F.col("src") + F.col("src_size")]
     got = p.alias("p").join(side.alias("m"), cond, "left")
     off = F.col(at) - F.col("src")
@@ -36,9 +36,9 @@ def interval_lookup(probes: DataFrame, maps: DataFrame, by: list[str], at: str =
 
 def overlaps(a: DataFrame, b: DataFrame, by: list[str]) -> DataFrame:
     """Pairs of intervals [a_lo, a_hi) and [b_lo, b_hi) that overlap, each once: in the bucket where the overlap starts."""
-    left, right = _spread(a, "a_lo", F.col("a_hi")), _spread(b, "b_lo", F.col("b_hi"))
+    left, right = spread(a, "a_lo", F.col("a_hi")), spread(b, "b_lo", F.col("b_hi"))
     met = left.join(right, [*by, "_b"]).where((F.col("a_lo") < F.col("b_hi")) & (F.col("b_lo") < F.col("a_hi")))
-    return met.where(F.col("_b") == _bucket(F.greatest("a_lo", "b_lo"))).drop("_b")
+    return met.where(F.col("_b") == bucket(F.greatest("a_lo", "b_lo"))).drop("_b")
 
 
 def asof(probes: DataFrame, marks: DataFrame, by: list[str], at: str, value: list[str]) -> DataFrame:
@@ -46,9 +46,9 @@ def asof(probes: DataFrame, marks: DataFrame, by: list[str], at: str, value: lis
 
     Marks with equal pos: the last by value. The carry into a bucket is the last mark of the buckets before.
     """
-    m = marks.select(*by, F.col("pos").alias("_p"), F.struct("pos", *value).alias("_v")).withColumn("_b", _bucket("_p"))
+    m = marks.select(*by, F.col("pos").alias("_p"), F.struct("pos", *value).alias("_v")).withColumn("_b", bucket("_p"))
     ends = m.groupBy(*by, "_b").agg(F.max("_v").alias("_end"))
-    p = probes.withColumn("_p", F.col(at)).withColumn("_b", _bucket("_p"))
+    p = probes.withColumn("_p", F.col(at)).withColumn("_b", bucket("_p"))
     used = ends.select(*by, "_b", "_end").unionByName(p.select(*by, "_b").distinct(), allowMissingColumns=True).groupBy(*by, "_b").agg(F.max("_end").alias("_end"))
     before = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     carry = used.select(*by, "_b", F.max("_end").over(before).alias("_carry"))

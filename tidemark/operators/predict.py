@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators import align
-from tidemark.operators.lookup import asof
+from tidemark.operators.lookup import asof, bucket, spread
 
 
 def section_pairing(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -39,10 +39,10 @@ def target_index(probes: DataFrame, targets: DataFrame, by: list[str], at: str =
 
 
 def file_offset_remap(refs: DataFrame, old_files: DataFrame, new_files: DataFrame, none: int = 0xFFFFFFFF) -> DataFrame:
-    """refs (id, off) with new_off: the offset of the same file name, its first place, in the new table; unknown names
-    and ``none`` keep their value."""
-    name = old_files.groupBy("off").agg(F.min("name").alias("name"))
-    first = new_files.groupBy("name").agg(F.min("off").alias("_new"))
+    """refs (id, off) with new_off: the offset of the same file name in the new table, at its first occurrence by ord;
+    unknown names and ``none`` keep their value. Files are (ord, name, off)."""
+    name = old_files.groupBy("off").agg(F.min_by("name", "ord").alias("name"))
+    first = new_files.groupBy("name").agg(F.min_by("off", "ord").alias("_new"))
     got = refs.join(name, "off", "left").join(first, "name", "left")
     return got.select("id", "off", F.when(F.col("off") == none, F.col("off")).otherwise(F.coalesce("_new", "off")).alias("new_off"))
 
@@ -81,12 +81,16 @@ def fix_blocks(blocks: DataFrame, votes: DataFrame, by: list[str]) -> DataFrame:
 
 
 def lay_image(cells: DataFrame, runs: DataFrame, old: DataFrame, by: list[str], fill: int = 0xCC) -> DataFrame:
-    """cells (by.., pos) with got: the old value the last run that covers it copies, else ``fill``."""
-    marks = runs.select(*by, F.col("dst").alias("pos"), F.col("src").alias("_s"), F.col("dst").alias("_d"), F.col("n").alias("_n"))
-    at = asof(cells, marks, by, "pos", ["_s", "_d", "_n"])
-    source = F.when(F.col("pos") < F.col("_d") + F.col("_n"), F.col("_s") + F.col("pos") - F.col("_d"))
+    """cells (by.., pos) with got: the old value that the last run (by dst, then src) that covers it copies, else
+    ``fill``, or 0 where cells have a column ``code`` that is false. Runs may overlap or nest."""
+    side = spread(runs.select(*by, "src", "dst", "n"), "dst", F.col("dst") + F.col("n"))
+    asked = cells.select(*by, "pos").distinct().withColumn("_b", bucket("pos"))
+    met = asked.join(side, [*by, "_b"]).where((F.col("pos") >= F.col("dst")) & (F.col("pos") < F.col("dst") + F.col("n")))
+    source = met.groupBy(*by, "pos").agg(F.max(F.struct("dst", "src")).alias("_r"))
+    source = source.select(*by, "pos", (F.col("_r.src") + F.col("pos") - F.col("_r.dst")).alias("_at"))
     values = old.select(*by, F.col("pos").alias("_at"), F.col("value").alias("_v"))
-    return at.withColumn("_at", source).join(values, [*by, "_at"], "left").select(*by, "pos", F.coalesce("_v", F.lit(fill)).alias("got"))
+    none = F.when(F.col("code"), F.lit(fill)).otherwise(0) if "code" in cells.columns else F.lit(fill)
+    return cells.join(source, [*by, "pos"], "left").join(values, [*by, "_at"], "left").select(*by, "pos", F.coalesce("_v", none).alias("got"))
 
 
 def multiset_difference(a: DataFrame, b: DataFrame) -> DataFrame:

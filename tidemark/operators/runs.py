@@ -108,12 +108,6 @@ def residual_mode_choice(cells: DataFrame, by: list[str]) -> DataFrame:
     return out.withColumn("mode", mode.otherwise("exclusive"))
 
 
-def join_delta_encode(units: DataFrame, by: list[str]) -> DataFrame:
-    """units (ord, src_ord, size_delta) with exception: the source less the one that follows the last unit's source."""
-    expect = F.coalesce(F.lag("src_ord").over(_over(by, "ord")) + 1, F.lit(0).cast("long"))
-    return units.withColumn("exception", F.col("src_ord") - expect)
-
-
 def first_use_layout(uses: DataFrame, by: list[str]) -> DataFrame:
     """uses (ord, content, len) with offset: contents are laid out once, in the order of first use, after one pad byte."""
     first = uses.groupBy(*by, "content").agg(F.min("ord").alias("_o"), F.first("len").alias("_l"))

@@ -47,15 +47,6 @@ def argmin_choice(rows: DataFrame, by: list[str], first: Column, second: Column)
     return out.withColumn("chosen", F.when(F.col("second_wrong") < F.col("first_wrong"), "second").otherwise("first"))
 
 
-def best_alignment(rows: DataFrame, by: list[str], offset: str, alignments: tuple = (1, 2, 4, 8, 16, 32, 64)) -> DataFrame:
-    """(by.., alignment, hits): the alignment the offsets hit most often relative to what one step less would give;
-    hits are offsets that are multiples; the first of the best wins. Alignment 1 counts odd offsets only."""
-    hits = [F.sum((F.col(offset) % a == 0).cast("long") - (F.col(offset) % (2 * a) == 0).cast("long")).alias(f"h{a}") for a in alignments]
-    wide = rows.groupBy(*by).agg(*hits)
-    ranked = F.array_sort(F.array(*[F.struct((-F.col(f"h{a}")).alias("m"), F.lit(a).cast("long").alias("a")) for a in alignments]))
-    return wide.withColumn("_b", ranked[0]).select(*by, F.col("_b.a").alias("alignment"), (-F.col("_b.m")).alias("hits"))
-
-
 def remap_by_vote(sites: DataFrame) -> DataFrame:
     """(pred, to, votes, correct): sites (pred, want) grouped by predicted target; wrong sites vote for the target
     they want, right ones to stay; the most votes win, the smallest target on a tie, if more than those to stay."""

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import keys
-from tidemark.operators import align, attribute, chunks, lookup, match, predict, runs, vote
+from tidemark.operators import align, attribute, chunks, lookup, maps, match, predict, reloc, runs, vote
 from tidemark.plans import versions
 from tidemark.plans.pairs import CELLS, MAPS, MARKS, NEW, OLD, POINTS, PROBES, RANGES, RUNS, UNITS, VOTES, frame, sql
 
@@ -223,13 +223,48 @@ def argmin_choice(rows):
     return vote.argmin_choice(rows, ["l_returnflag", "l_linestatus"], F.col("l_quantity") > 20, F.col("l_discount") > 0.05)
 
 
-_HITS = ", ".join(f"sum(case when dst % {a} = 0 and dst % {2 * a} <> 0 then 1 else 0 end) as h{a}" for a in (1, 2, 4, 8, 16, 32, 64))
+#: Old and new units of a map: new ones lie at multiples of 16 but for some, some have no source, some another's.
+_OLD_UNITS = f"select section, ord, src_size as size from ({UNITS}) u"
+_NEW_UNITS = f"""select section, ord, cast(sum(wide) over (partition by section order by ord rows between unbounded preceding and current row) - wide + case when id % 23 = 0 then 4 else 0 end as bigint) as off, dst_size as size,
+  case when id % 31 = 0 then null when id % 37 = 0 then ord - least(ord, 3) when id % 41 = 0 then ord - least(ord, 1) else ord end as src
+  from (select *, dst_size + (16 - dst_size % 16) % 16 + 16 as wide from ({UNITS}) u) w"""
+_END = "coalesce(lag(off + size) over (partition by section order by ord), 0)"
+_HITS = ", ".join(f"sum(case when off = e + ({a} - e % {a}) % {a} then 1 else 0 end) as h{a}" for a in (1, 2, 4, 8, 16, 32, 64))
 _ARMS = " union all ".join(f"select section, h{a} as h, {a} as a from w" for a in (1, 2, 4, 8, 16, 32, 64))
+_TIGHT = f"select section, ord, cast(off - 16 * ord as bigint) as off, size from ({_NEW_UNITS}) n"
+_ALIGN = "with w as (select section, {h} from (select *, {e} as e from ({u}) u) x group by section), x as ({arms}), y as (select *, row_number() over (partition by section order by h desc, a) as r from x) select section, cast(a as bigint) as alignment, cast(h as bigint) as hits from y where r = 1"
 
 
-@query(f"select section, dst from ({UNITS}) u", oracle=f"with w as (select section, {_HITS} from ({UNITS}) u group by section), x as ({_ARMS}), y as (select *, row_number() over (partition by section order by h desc, a) as r from x) select section, cast(a as bigint) as alignment, cast(h as bigint) as hits from y where r = 1")
-def best_alignment(rows):
-    return vote.best_alignment(rows, S, "dst")
+@query(_TIGHT, oracle=_ALIGN.format(h=_HITS, e=_END, u=_TIGHT, arms=_ARMS))
+def best_alignment(units):
+    return maps.best_alignment(units, S)
+
+
+_CODED = f"""with o as ({_OLD_UNITS}), n as ({_NEW_UNITS}), al as ({_ALIGN.format(h=_HITS, e=_END, u=_NEW_UNITS, arms=_ARMS)}),
+k as (select section, src as ord, row_number() over (partition by section order by src) - 1 as rank from (select distinct section, src from n where src is not null) d),
+c as (select section, count(*) as total from o group by 1),
+d as (select o.section, o.ord, o.ord - row_number() over (partition by o.section order by o.ord) as g from o left join k on k.section = o.section and k.ord = o.ord where k.ord is null),
+m as (select n.*, o.size as was, coalesce(lag(k.rank) over (partition by n.section order by n.ord) + 1, 0) as nxt from n join k on k.section = n.section and k.ord = n.src join o on o.section = n.section and o.ord = n.src),
+x as (select m.*, coalesce(k.ord, c.total) as cursor from m join c on c.section = m.section left join k on k.section = m.section and k.rank = m.nxt),
+f as (select z.section, ord, off - (e + (alignment - e % alignment) % alignment) as v from (select *, {_END} as e from n) z join al on al.section = z.section)
+select section, 'units' as part, cast(0 as bigint) as ord, count(*) as value from n group by 1
+union all select section, 'align', 0, alignment from al
+union all select section, 'drop', min(ord), count(*) from d group by section, g
+union all select section, 'insert', ord, size from n where src is null
+union all select section, 'order', ord, src - cursor from x where src <> cursor
+union all select section, 'size', ord, size - was from x where size <> was
+union all select section, 'fix', ord, v from f where v <> 0"""
+
+
+@query(_OLD_UNITS, _NEW_UNITS, oracle=_CODED)
+def join_delta_encode(old, new):
+    return maps.encode(old, new, S)
+
+
+@query(_OLD_UNITS, _NEW_UNITS, oracle=_NEW_UNITS)
+def correspondence_roundtrip(old, new):
+    """The coded form replayed: offsets, sizes and sources of all new units."""
+    return maps.replay(old, maps.encode(old, new, S), S)
 
 
 _SITES = "select l_suppkey % 50 as pred, case when l_partkey % 3 = 0 then l_suppkey % 50 when l_partkey % 3 = 1 then l_suppkey % 50 * (l_suppkey % 2) else l_partkey % 20 end as want from {lineitem}"
@@ -310,14 +345,6 @@ def residual_mode_choice(cells):
     return runs.residual_mode_choice(cells, S)
 
 
-_JOINED = f"select section, ord, (ord * 7 + id) % 900 as src_ord from ({UNITS}) u"
-
-
-@query(_JOINED, oracle=f"select *, src_ord - coalesce(lag(src_ord) over (partition by section order by ord) + 1, 0) as exception from ({_JOINED})")
-def join_delta_encode(units):
-    return runs.join_delta_encode(units, S)
-
-
 _USES = f"select section, ord, cents % 40 as content, 8 + cents % 40 as len from (select section, id, cents, cast(row_number() over (partition by section order by id) - 1 as bigint) as ord from ({OLD}) o) u"
 
 
@@ -456,13 +483,6 @@ def block_shift_islands(rows):
     return align.block_shift_islands(rows, "section")
 
 
-@query(_JOINED, oracle=f"select section, ord, src_ord from ({_JOINED})")
-def correspondence_roundtrip(units):
-    """The exceptions replayed: each source is one past the last plus its exception."""
-    coded = runs.join_delta_encode(units, S).select("section", "ord", (F.col("exception") + 1).alias("gap"))
-    return runs.gap_decode(coded, S, "_v").select("section", "ord", (F.col("_v") - 1).alias("src_ord"))
-
-
 _GO = "select p_partkey, case p_size % 4 when 0 then concat('a/b.(*T).M', p_partkey) when 1 then concat('a/b.Bucket[x.y].F', p_partkey) when 2 then concat('a/b.T.M-f', 'm') else concat('plain', p_partkey) end as name from {part}"
 
 
@@ -510,10 +530,11 @@ def target_index(probes, a, b):
 
 
 _FILE_REFS = "select l_orderkey * 10 + l_linenumber as id, case when l_partkey % 9 = 0 then 4294967295 else l_suppkey * 8 end as off from {lineitem}"
-_FILES_OLD, _FILES_NEW = "select s_suppkey * 8 as off, concat('f', s_suppkey % 60) as name from {supplier}", "select s_suppkey * 24 as off, concat('f', s_suppkey % 50) as name from {supplier}"
+_FILES_OLD = "select s_suppkey as ord, s_suppkey * 8 as off, concat('f', s_suppkey % 60) as name from {supplier}"
+_FILES_NEW = "select s_suppkey as ord, (s_suppkey * 7919) % 100003 * 24 as off, concat('f', s_suppkey % 50) as name from {supplier}"
 
 
-@query(_FILE_REFS, _FILES_OLD, _FILES_NEW, oracle=f"with o as (select off, min(name) as name from ({_FILES_OLD}) group by 1), n as (select name, min(off) as new from ({_FILES_NEW}) group by 1) select r.id, r.off, case when r.off = 4294967295 then r.off else coalesce(n.new, r.off) end as new_off from ({_FILE_REFS}) r left join o on o.off = r.off left join n on n.name = o.name")
+@query(_FILE_REFS, _FILES_OLD, _FILES_NEW, oracle=f"with o as (select off, arg_min(name, ord) as name from ({_FILES_OLD}) group by 1), n as (select name, arg_min(off, ord) as new from ({_FILES_NEW}) group by 1) select r.id, r.off, case when r.off = 4294967295 then r.off else coalesce(n.new, r.off) end as new_off from ({_FILE_REFS}) r left join o on o.off = r.off left join n on n.name = o.name")
 def file_offset_remap(refs, old, new):
     return predict.file_offset_remap(refs, old, new)
 
@@ -590,3 +611,52 @@ def self_prediction(old):
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents of the two versions paired in stages: pairs by stage."""
     return QUERIES["staged_match"](spark, sf_dir).groupBy("stage").count()
+
+
+#: Relocation tables: every ninth entry has a symbol, as have the first two.
+_INFO = "case when id % 9 = 0 or ord < 2 then 6 + id * 4294967296 else cast(8 as bigint) end as info"
+_RELA_OLD = f"select section, ord, src as slot, {_INFO}, case when id % 12 = 0 then cast(0 as bigint) else src + src_size end as addend from ({UNITS}) u"
+_RELA_NEW = f"""select section, cast(row_number() over (partition by section order by ord) - 1 as bigint) as ord, dst as slot, {_INFO}, case when id % 12 = 0 then cast(0 as bigint) else dst + dst_size end as addend
+  from ({UNITS}) u where id % 23 <> 0"""
+
+
+def _split(table: str) -> str:
+    return f"""select *, case when rel then 'rel' when ord > first then 'tail' else 'head' end as kind, row_number() over (partition by section, rel order by ord) - 1 as idx
+  from (select *, info & 4294967295 = 8 as rel, min(case when info & 4294967295 = 8 then ord end) over (partition by section) as first from ({table}) t) s"""
+
+
+@query(_RELA_OLD, oracle=f"select section, ord, slot, info, addend, kind, idx from ({_split(_RELA_OLD)}) x")
+def rela_split(entries):
+    return reloc.rela_split(entries, S)
+
+
+_TAIL = " union all ".join(f"select w.section, 'tail_{c}' as part, w.idx, coalesce(o.{c}, 0) as pred, w.{c} as want from n w left join o on o.section = w.section and o.idx = w.idx and o.kind <> 'rel' where w.kind <> 'rel'" for c in ("slot", "info", "addend"))
+_PLAN = f"""with m as ({MAPS}), t as ({POINTS}), g as ({RANGES}), o0 as ({_split(_RELA_OLD)}), n as ({_split(_RELA_NEW)}),
+p as (select distinct section, addr from (select section, slot as addr from o0 union all select section, addend from o0) z where addr <> 0),
+x as (select p.section, p.addr, coalesce(t.new, case when p.addr - m.src < m.dst_size then m.dst + p.addr - m.src end, g.new + p.addr - g.old) as target from p
+ left join t on t.section = p.section and t.old = p.addr {_LOOK} left join g on g.section = p.section and p.addr >= g.old and p.addr < g.old + g.size),
+o as (select o0.section, o0.idx, o0.kind, o0.info, coalesce(a.target, o0.slot) as slot, coalesce(b.target, o0.addend) as addend from o0
+ left join x a on a.section = o0.section and a.addr = o0.slot left join x b on b.section = o0.section and b.addr = o0.addend),
+og as (select section, idx, coalesce(slot - lag(slot) over (partition by section order by idx), 0) as gap from o where kind = 'rel'),
+ng as (select section, idx, coalesce(slot - lag(slot) over (partition by section order by idx), 0) as gap from n where kind = 'rel'),
+f as (select section, slot, arg_min(addend, idx) as addend from o where kind = 'rel' group by 1, 2),
+cells as (select ng.section, 'gap' as part, ng.idx, coalesce(og.gap, 0) as pred, ng.gap as want from ng left join og on og.section = ng.section and og.idx = ng.idx
+ union all select w.section, 'addend', w.idx, coalesce(f.addend, q.addend, 0), w.addend from n w left join f on f.section = w.section and f.slot = w.slot left join o q on q.section = w.section and q.idx = w.idx and q.kind = 'rel' where w.kind = 'rel'
+ union all {_TAIL})
+select section, part, idx, pred, want from cells where pred <> want"""
+
+
+@query(_RELA_OLD, _RELA_NEW, POINTS, MAPS, RANGES, oracle=_PLAN)
+def reloc_plan(old, new, points, maps_, ranges):
+    return reloc.reloc_plan(reloc.predicted_columns(old, new, points, maps_, ranges, S))
+
+
+@query(_RELA_OLD, _RELA_NEW, POINTS, MAPS, RANGES, oracle=f"select section, row_number() over (partition by section order by case kind when 'head' then 0 when 'rel' then 1 else 2 end, ord) - 1 as ord, slot, info, addend from ({_split(_RELA_NEW)}) x")
+def assemble_rela(old, new, points, maps_, ranges):
+    """The new table from the old one's projection and the plan's corrections."""
+    cells = reloc.predicted_columns(old, new, points, maps_, ranges, S)
+    shipped = F.when(F.col("pred") != F.col("want"), F.col("want"))  # what reloc_plan lists
+    fixed = cells.select("section", "part", "idx", F.coalesce(shipped, "pred").alias("value"))
+    split = reloc.rela_split(new, S)
+    anchors = split.groupBy("section").agg(F.min_by("slot", F.when(F.col("kind") == "rel", F.col("idx"))).alias("anchor"), F.count_if(F.col("kind") == "head").alias("head"))
+    return reloc.assemble_rela(fixed, anchors, S)
