@@ -98,7 +98,7 @@ def monotone_pair_filter(pairs):
     return match.monotone_pairs(pairs, S)
 
 
-_DERIVED, _TRUE = "select o_custkey as v from {orders} where o_orderkey % 3 = 0", "select o_custkey as v from {orders} where o_orderkey % 2 = 0"
+_DERIVED, _TRUE = "select o_orderkey as v from {orders}", "select case when o_orderkey % 7 = 0 then -o_orderkey else o_orderkey end as v from {orders}"
 
 
 @query(_DERIVED, _TRUE, oracle=f"select distinct v, 'missing' as kind from ({_TRUE}) where v not in ({_DERIVED}) union all select distinct v, 'suppressed' from ({_DERIVED}) where v not in ({_TRUE})")
@@ -157,7 +157,7 @@ def clip_runs(runs_, sections):
     return lookup.clip_runs(runs_, sections, S)
 
 
-_BODIES = f"select section, src as start, src_size - 3 as size from ({UNITS}) u where id % 4 <> 0"
+_BODIES = f"select section, src as start, case when id % 4 = 0 then src_size else src_size - 3 end as size from ({UNITS}) u"
 _TOTALS = f"select section, cast(max(src + src_size) as bigint) as total from ({UNITS}) u group by section"
 
 
@@ -201,7 +201,7 @@ def modal_template(part):
     return vote.modal_template(part, ["p_brand", "p_type", "p_size"])
 
 
-_LEARN, _WANT = "select p_name as k, p_size as v from {part} where p_partkey % 3 = 0", "select p_partkey, case when p_partkey % 5 = 0 then 'other' else p_name end as k from {part}"
+_LEARN, _WANT = "select case when p_partkey % 3 = 0 then p_name else p_brand end as k, p_size as v from {part}", "select p_partkey, case when p_partkey % 5 = 0 then 'other' else p_name end as k from {part}"
 
 
 @query(_LEARN, _WANT, oracle=f"with l as ({_LEARN}), m as (select k, v from (select k, v, row_number() over (partition by k order by count(*) desc, v) as r from l group by 1, 2) where r = 1) select w.p_partkey, w.k, coalesce(m.v, (select v from l group by 1 order by count(*) desc, v limit 1)) as v from ({_WANT}) w left join m on m.k = w.k")
@@ -499,7 +499,7 @@ def magnitude_histogram(rows):
     return rows.groupBy(keys.magnitude(F.col("v")).cast("long").alias("class")).agg(F.count("*").alias("n"))
 
 
-_SEC_OLD, _SEC_NEW = (f"select concat('s', o_custkey) as name, cast(min(o_orderkey) as bigint) as off, count(*) as size from {{orders}} where o_orderkey % {m} <> 0 group by 1" for m in (3, 2))
+_SEC_OLD, _SEC_NEW = (f"select concat('s', o_custkey - o_custkey % 8 + o_custkey % {m}) as name, cast(min(o_orderkey) as bigint) as off, cast(sum(1 + o_orderkey % {m}) as bigint) as size from {{orders}} group by 1" for m in (3, 2))
 
 
 @query(_SEC_OLD, _SEC_NEW, oracle=f"select a.name, a.off as old_off, b.off as new_off, least(a.size, b.size) as size from ({_SEC_OLD}) a join ({_SEC_NEW}) b on a.name = b.name")
