@@ -14,8 +14,20 @@ def normalize_key(name: Column) -> Column:
 
 
 def renumber_key(name: Column) -> Column:
-    """The normalised key with the arguments of generics dropped."""
-    return F.regexp_replace(normalize_key(name), r"\[[^\[\]]*\]", "[...]")
+    """The normalised key with each outermost bracket group, whatever nests in it, as [#]. A group that is not closed
+    reaches to the end; a closing bracket without an opening one is dropped if the name has any opening one."""
+    key = normalize_key(name)
+    tokens = F.regexp_extract_all(key, F.lit(r"(\[|\]|[^\[\]]+)"), F.lit(1))
+    start = F.struct(F.lit(0).alias("depth"), F.lit("").alias("out"))
+
+    def step(s: Column, t: Column) -> Column:
+        outside = s["depth"] == 0
+        opened = F.struct((s["depth"] + 1).alias("depth"), F.when(outside, F.concat(s["out"], F.lit("[#]"))).otherwise(s["out"]).alias("out"))
+        closed = F.struct(F.greatest(s["depth"] - 1, F.lit(0)).alias("depth"), s["out"].alias("out"))
+        other = F.struct(s["depth"].alias("depth"), F.when(outside, F.concat(s["out"], t)).otherwise(s["out"]).alias("out"))
+        return F.when(t == "[", opened).when(t == "]", closed).otherwise(other)
+
+    return F.when(F.contains(key, F.lit("[")), F.aggregate(tokens, start, step)["out"]).otherwise(key)
 
 
 def name_key(name: Column) -> Column:
@@ -56,4 +68,13 @@ def magnitude(n: Column) -> Column:
 
 def worth_of(price: Column, n: Column, rate: Column) -> Column:
     """What ``n`` bytes may cost at a price and a rate, in whole units; nothing at no price."""
-    return F.when(price <= 0, F.lit(0).cast("long")).otherwise(F.floor(F.least(price, F.lit(1 << 24)) * n / rate).cast("long"))
+    return F.when(price <= 0, F.lit(0).cast("long")).otherwise(F.call_function("div", F.least(price, F.lit(1 << 24)).cast("long") * n, rate))
+
+
+def zigzag(v: Column) -> Column:
+    """Signed numbers as unsigned ones of like size: 0, -1, 1, -2 become 0, 1, 2, 3."""
+    return F.shiftleft(v, 1).bitwiseXOR(F.shiftright(v, 63))
+
+
+def unzigzag(u: Column) -> Column:
+    return F.shiftrightunsigned(u, 1).bitwiseXOR(-u.bitwiseAND(F.lit(1).cast("long")))

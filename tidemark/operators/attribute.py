@@ -37,6 +37,20 @@ def entropy_by_group(values: DataFrame, by: list[str], value: str) -> DataFrame:
     return out.select(*by, "n", (F.col("n") * F.log2("n") - F.col("_s")).alias("bits"))
 
 
+def adaptive_bits(values: DataFrame, by: list[str], value: str, alphabet: int = 256) -> DataFrame:
+    """(by.., n, bits): what a group costs under its own counts, each value's raised by a half so that none is free or
+    impossible."""
+    each = values.groupBy(*by, value).agg(F.count("*").alias("c"))
+    out = each.groupBy(*by).agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.log2(F.col("c") + 0.5)).alias("_s"))
+    return out.select(*by, "n", (F.col("n") * F.log2(F.col("n") + alphabet / 2) - F.col("_s")).alias("bits"))
+
+
+def largest_first(rows: DataFrame, amount: str, ties: list[str], k: int) -> DataFrame:
+    """The k rows of the largest amount, with their rank: a top-k report."""
+    top = rows.orderBy(F.desc(amount), *ties).limit(k)
+    return top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc(amount), *ties)).cast("long"))
+
+
 def yardstick_fit(rows: DataFrame, y: str, a: str, b: str) -> DataFrame:
     """One row (coef_a, coef_b): least squares of y on a and b without intercept, from five sums."""
     s = lambda p, q: F.sum(F.col(p).cast("double") * F.col(q).cast("double"))
@@ -47,7 +61,7 @@ def yardstick_fit(rows: DataFrame, y: str, a: str, b: str) -> DataFrame:
 
 def churn_summary(cells: DataFrame, by: list[str], gap: int = 8, long_run: int = 16) -> DataFrame:
     """(by.., cells, differing, runs, merged, longest_same, in_long_same): cells (ord, same); runs of differing
-    cells, those left when gaps of at most ``gap`` are bridged, and the unchanged runs' longest and long total."""
+    cells, those left when gaps of at most ``gap`` are bridged, the unchanged runs' longest and long total, and the differing runs' median (null without any)."""
     order = Window.partitionBy(*by).orderBy("ord")
     marked = cells.withColumn("_c", (~F.col("same").eqNullSafe(F.lag("same").over(order))).cast("long"))
     marked = marked.withColumn("_r", F.sum("_c").over(order.rowsBetween(Window.unboundedPreceding, 0)))
@@ -63,4 +77,5 @@ def churn_summary(cells: DataFrame, by: list[str], gap: int = 8, long_run: int =
         (whole(differ) - whole(F.col("same") & F.col("_inner") & (F.col("n") <= gap))).alias("merged"),
         F.coalesce(F.max(F.when(F.col("same"), F.col("n"))), F.lit(0).cast("long")).alias("longest_same"),
         whole(F.col("same") & (F.col("n") >= long_run), "n").alias("in_long_same"),
+        F.percentile(F.when(differ, F.col("n")), 0.5).alias("median_run"),
     )

@@ -34,6 +34,15 @@ def interval_lookup(probes: DataFrame, maps: DataFrame, by: list[str], at: str =
     return got.select("p.*", F.when(off < F.col("dst_size"), F.col("dst") + off).alias("target")).drop("_b")
 
 
+def holding(probes: DataFrame, intervals: DataFrame, by: list[str], at: str, take: list[str]) -> DataFrame:
+    """probes with the columns ``take`` of the interval [lo, hi) that holds the address; null outside all. Intervals are
+    disjoint."""
+    side = spread(intervals.select(*by, "lo", "hi", *take), "lo", F.col("hi"))
+    p = probes.withColumn("_b", bucket(at))
+    cond = [F.col(f"p.{c}") == F.col(f"i.{c}") for c in [*by, "_b"]] + [F.col(f"p.{at}") >= F.col("i.lo"), F.col(f"p.{at}") < F.col("i.hi")]
+    return p.alias("p").join(side.alias("i"), cond, "left").select("p.*", *[F.col(f"i.{c}") for c in take]).drop("_b")
+
+
 def overlaps(a: DataFrame, b: DataFrame, by: list[str]) -> DataFrame:
     """Pairs of intervals [a_lo, a_hi) and [b_lo, b_hi) that overlap, each once: in the bucket where the overlap starts."""
     left, right = spread(a, "a_lo", F.col("a_hi")), spread(b, "b_lo", F.col("b_hi"))

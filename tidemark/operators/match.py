@@ -74,3 +74,22 @@ def capped_candidates(pairs: DataFrame, by: list[str], order: list[Column], k: i
     """The first k candidates of each key, with their rank."""
     rank = F.row_number().over(Window.partitionBy(*by).orderBy(*order))
     return pairs.withColumn("rank", rank.cast("long")).where(F.col("rank") <= k)
+
+
+def content_match(old: DataFrame, new: DataFrame, matched: DataFrame, key: list[str]) -> DataFrame:
+    """(new_id, old_id) for the new rows not in ``matched`` (new_id): the old row of equal ``key`` (size and content)
+    nearest in off, the lowest old id on a tie. Sides: (id, off, key..); old rows may serve many new ones.
+
+    Nearest by one as-of lookup either way, so rows of a frequent key are never paired with one another.
+    """
+    from tidemark.operators.lookup import asof
+
+    open_ = new.join(matched.select(F.col("new_id").alias("id")), "id", "left_anti").select(F.col("id").alias("new_id"), "off", *key)
+    low = (-F.col("id")).alias("_low")
+    back = asof(open_, old.select(*key, F.col("off").alias("pos"), low, F.col("off").alias("_at")), key, "off", ["_low", "_at"])
+    back = back.withColumn("_back", F.struct((F.col("off") - F.col("_at")).alias("far"), (-F.col("_low")).alias("id"))).withColumn("_neg", -F.col("off")).drop("_low", "_at")
+    both = asof(back, old.select(*key, (-F.col("off")).alias("pos"), low, F.col("off").alias("_at")), key, "_neg", ["_low", "_at"])
+    ahead = F.struct((F.col("_at") - F.col("off")).alias("far"), (-F.col("_low")).alias("id"))
+    known = lambda s, c: F.when(c.isNotNull(), s)
+    best = F.least(known(F.col("_back"), F.col("_back.id")), known(ahead, F.col("_low")))
+    return both.select("new_id", best["id"].alias("old_id")).where("old_id is not null")

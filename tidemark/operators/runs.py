@@ -158,3 +158,18 @@ def bucket_min_index(bodies: DataFrame, by: list[str], sub: int = 256, bucket: i
     least = touched.groupBy(*by, "sub_bucket").agg(F.min("idx").alias("first"))
     base = F.min("first").over(Window.partitionBy(*by, F.floor(F.col("sub_bucket") / (bucket // sub))))
     return least.withColumn("rel", F.col("first") - base)
+
+
+def sparse_encode(cells: DataFrame, by: list[str]) -> DataFrame:
+    """(by.., ord, gap, value): cells (idx, value) as index gaps, the first against 0."""
+    order = _over(by, "idx")
+    gap = F.col("idx") - F.coalesce(F.lag("idx").over(order), F.lit(0).cast("long"))
+    return cells.select(*by, F.row_number().over(order).cast("long").alias("ord"), gap.alias("gap"), "value")
+
+
+def sparse_decode(column: DataFrame, sizes: DataFrame, by: list[str]) -> DataFrame:
+    """(by.., idx, value). An index at or past the section's size (by.., n), or a gap of 0 after the first, is an error."""
+    upto = _over(by, "ord").rowsBetween(Window.unboundedPreceding, 0)
+    got = column.withColumn("idx", F.sum("gap").over(upto)).join(sizes.select(*by, "n"), by)
+    bad = (F.col("gap") < 0) | ((F.col("gap") == 0) & (F.col("ord") > 1)) | (F.col("idx") >= F.col("n"))
+    return got.select(*by, F.when(bad, F.raise_error(F.lit("invalid sparse column")).cast("long")).otherwise(F.col("idx")).alias("idx"), "value")

@@ -56,3 +56,21 @@ def remap_by_vote(sites: DataFrame) -> DataFrame:
         F.max(F.when(wrong, F.struct("c", (-F.col("want")).alias("m")))).alias("b"), F.coalesce(F.max(F.when(right, F.col("c"))), F.lit(0).cast("long")).alias("correct")
     )
     return out.where(F.col("b").isNotNull() & (F.col("b.c") > F.col("correct"))).select("pred", (-F.col("b.m")).alias("to"), F.col("b.c").alias("votes"), "correct")
+
+
+def modal_shape(rows: DataFrame, fields: list[str]) -> DataFrame:
+    """One row: the most frequent combination of the fields, the smallest on a tie."""
+    return rows.groupBy(*fields).agg(F.count("*").alias("n")).orderBy(F.desc("n"), *fields).limit(1)
+
+
+def field_residuals(sites: DataFrame, remap: DataFrame, by: list[str]) -> DataFrame:
+    """(by.., idx, delta): what the remap (pred, to) leaves wrong of sites (by.., idx, pred, want), in site order."""
+    fixed = F.coalesce("to", "pred")
+    left = sites.join(remap.select("pred", "to"), "pred", "left").where(fixed != F.col("want"))
+    return left.select(*by, "idx", (F.col("want") - fixed).alias("delta"))
+
+
+def best_variant(candidates: DataFrame, by: list[str]) -> DataFrame:
+    """(by.., variant, gain): each span's variant of the greatest gain, the first on a tie, where it gains anything."""
+    best = F.max(F.struct("gain", (-F.col("variant")).alias("v"))).alias("b")
+    return candidates.where("gain > 0").groupBy(*by).agg(best).select(*by, (-F.col("b.v")).alias("variant"), F.col("b.gain").alias("gain"))

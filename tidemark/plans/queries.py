@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import keys
-from tidemark.operators import align, attribute, chunks, lookup, maps, match, predict, reloc, runs, vote
+from tidemark.operators import addresses, align, attribute, chunks, lookup, maps, match, predict, reloc, runs, vote
 from tidemark.plans import versions
 from tidemark.plans.pairs import CELLS, MAPS, MARKS, NEW, OLD, POINTS, PROBES, RANGES, RUNS, UNITS, VOTES, frame, sql
 
@@ -437,7 +437,7 @@ _SAME = f"select section, pos as ord, pred = want as same from ({CELLS}) c"
 
 
 @query(_SAME, oracle=f"""with i as {_ISLE.format(_SAME, 'same')}, r as (select section, run, any_value(same) as same, count(*) as n from i group by 1, 2), e as (select *, run > min(run) over (partition by section) and run < max(run) over (partition by section) as inner_ from r)
-select section, cast(sum(n) as bigint) as cells, cast(coalesce(sum(n) filter (not same), 0) as bigint) as differing, count(*) filter (not same) as runs, count(*) filter (not same) - count(*) filter (same and inner_ and n <= 8) as merged, coalesce(max(n) filter (same), 0) as longest_same, cast(coalesce(sum(n) filter (same and n >= 16), 0) as bigint) as in_long_same from e group by 1""")
+select section, cast(sum(n) as bigint) as cells, cast(coalesce(sum(n) filter (not same), 0) as bigint) as differing, count(*) filter (not same) as runs, count(*) filter (not same) - count(*) filter (same and inner_ and n <= 8) as merged, coalesce(max(n) filter (same), 0) as longest_same, cast(coalesce(sum(n) filter (same and n >= 16), 0) as bigint) as in_long_same, quantile_cont(n, 0.5) filter (not same) as median_run from e group by 1""")
 def churn_summary(cells):
     return attribute.churn_summary(cells, S)
 
@@ -660,3 +660,184 @@ def assemble_rela(old, new, points, maps_, ranges):
     split = reloc.rela_split(new, S)
     anchors = split.groupBy("section").agg(F.min_by("slot", F.when(F.col("kind") == "rel", F.col("idx"))).alias("anchor"), F.count_if(F.col("kind") == "head").alias("head"))
     return reloc.assemble_rela(fixed, anchors, S)
+
+
+_GENERIC = "select p_partkey, case p_size % 4 when 0 then concat('a.F[int,', p_name, '].func', p_size) when 1 then concat('a.G[m[k]', p_brand, '].H[x]') when 2 then concat('plain.func', p_size) else concat('.text.', p_brand) end as name from {part}"
+
+
+@query(_GENERIC, oracle=f"select p_partkey, regexp_replace(regexp_replace(name, '\\.func[0-9]+', '.func#', 'g'), '\\[([^\\[\\]]|\\[[^\\[\\]]*\\])*\\]', '[#]', 'g') as key, list_contains(string_split(name, '.'), 'text') as code from ({_GENERIC})")
+def renumber_key(names):
+    return names.select("p_partkey", keys.renumber_key(F.col("name")).alias("key"), keys.is_code_window(F.col("name")).alias("code"))
+
+
+_PRICED = f"select section, ord, cents - 20000000 as price, src_size as n, dst as pos from (select u.*, o.cents from ({UNITS}) u join ({OLD}) o on o.id = u.id) x"
+
+
+@query(_PRICED, oracle=f"select section, ord, case when price <= 0 then 0 else least(price, 16777216) * n // 1048576 end as worth, (pos + 15) // 16 * 16 as aligned from ({_PRICED})")
+def worth_and_alignment(rows):
+    return rows.select("section", "ord", keys.worth_of(F.col("price"), F.col("n"), F.lit(1 << 20).cast("long")).alias("worth"), keys.align_up(F.col("pos"), 16).alias("aligned"))
+
+
+@query(_ORDV, oracle=f"select section, ord, v, case when gap < 0 then -2 * gap - 1 else 2 * gap end as coded, v as back from (select *, v - lag(v, 1, 0) over (partition by section order by ord) as gap from ({_ORDV}))")
+def zigzag_gaps(rows):
+    """Gaps as unsigned numbers, and the values again."""
+    told = runs.gap_encode(rows, S, "v").withColumn("coded", keys.zigzag(F.col("gap")))
+    back = runs.gap_decode(told.select("section", "ord", keys.unzigzag(F.col("coded")).alias("gap")), S, "v").withColumnRenamed("v", "back")
+    return told.select("section", "ord", "v", "coded").join(back.select("section", "ord", "back"), ["section", "ord"])
+
+
+_POINTER_WORDS = f"select section, ord, src * 8 + id % 8 as value from ({UNITS}) u"
+
+
+@query(_POINTER_WORDS, oracle=f"select section, ord, case when value >= 4000 and value < 90000 then 0 else value end as value, value >= 4000 and value < 90000 as is_pointer from ({_POINTER_WORDS})")
+def mask_pointers(words):
+    return addresses.mask_pointers(words, 4000, 90000)
+
+
+_SHAPES = "select l_linenumber as a, cast(l_quantity as int) % 5 as b from {lineitem}"
+
+
+@query(_SHAPES, oracle=f"select a, b, count(*) as n from ({_SHAPES}) group by 1, 2 order by n desc, a, b limit 1")
+def modal_shape(rows):
+    return vote.modal_shape(rows, ["a", "b"])
+
+
+_SHIPPED = f"select section, cast(row_number() over (partition by section order by l_orderkey, l_linenumber, l_partkey, pred, want) - 1 as bigint) as idx, pred, want from (select *, l_suppkey % 16 as section, {_SITES[7 : _SITES.index(' from')]} from {{lineitem}}) s"
+_REMAP = SQL["remap_by_vote"]
+
+
+@query(_SHIPPED, oracle=f"""with m as ({_REMAP}), f as (select s.section, s.idx, s.want - coalesce(m."to", s.pred) as value from ({_SHIPPED}) s left join m on m.pred = s.pred),
+w as (select * from f where value <> 0)
+select section, row_number() over (partition by section order by idx) as ord, idx - lag(idx, 1, 0) over (partition by section order by idx) as gap, value from w""")
+def vote_residual(sites):
+    """What the voted remap leaves wrong, as a sparse column."""
+    left = vote.field_residuals(sites, vote.remap_by_vote(sites), S)
+    return runs.sparse_encode(left.withColumnRenamed("delta", "value"), S)
+
+
+@query(CELLS, oracle=f"select section, pos as idx, want - pred as value from ({CELLS}) where pred <> want")
+def sparse_column(cells):
+    """The sparse column of all corrections, read back."""
+    coded = runs.sparse_encode(cells.where("pred <> want").select("section", F.col("pos").alias("idx"), (F.col("want") - F.col("pred")).alias("value")), S)
+    return runs.sparse_decode(coded, cells.groupBy("section").agg((F.max("pos") + 1).alias("n")), S)
+
+
+_VARIANTS = "select l_orderkey as span, l_linenumber as variant, l_suppkey % 40 - 25 as gain from {lineitem}"
+
+
+@query(_VARIANTS, oracle=f"select span, variant, gain from (select *, row_number() over (partition by span order by gain desc, variant) as r from (select distinct * from ({_VARIANTS})) where gain > 0) where r = 1")
+def best_variant(candidates):
+    return vote.best_variant(candidates, ["span"])
+
+
+@query(_VALUES, oracle=f"with c as (select section, v, count(*) as c from ({_VALUES}) group by 1, 2), t as (select section, sum(c) as n from c group by 1) select c.section, cast(any_value(n) as bigint) as n, round(sum(-c * log2((c + 0.5) / (n + 128))), 4) as bits from c join t on t.section = c.section group by 1")
+def adaptive_bits(values):
+    return attribute.adaptive_bits(values, S, "v").withColumn("bits", F.round("bits", 4))
+
+
+_WRONG = f"select d.section, s.name, count(*) as wrong from ({_DIFFS}) d join ({_SEGMENTS}) s on s.section = d.section and pos >= lo and pos < hi group by 1, 2"
+
+
+@query(_DIFFS, _SEGMENTS, oracle=f"select *, row_number() over (order by wrong desc, section, name) as rank from ({_WRONG}) order by wrong desc, section, name limit 10")
+def largest_errors(diffs, segments):
+    """The ten segments with the most errors."""
+    return attribute.largest_first(attribute.error_by_segment(diffs, segments, S), "wrong", ["section", "name"], 10)
+
+
+_OLD_TEXTS, _NEW_TEXTS = (f"select doc_id as id, doc_id * {m} as off, length(text) as size, md5(regexp_replace(text, '[0-9]+', '#'{{g}})) as hash from {{{{documents}}}} where doc_id % 2 = {r}" for m, r in ((3, 0), (4, 1)))
+_NAMED = "select doc_id as new_id from {documents} where lang is null or doc_id % 14 = 1"
+
+
+@query(_OLD_TEXTS.format(g=""), _NEW_TEXTS.format(g=""), _NAMED, oracle=f"""with o as ({_OLD_TEXTS.format(g=", 'g'")}), n as ({_NEW_TEXTS.format(g=", 'g'")}),
+c as (select n.id as new_id, o.id as old_id, row_number() over (partition by n.id order by abs(n.off - o.off), o.id) as r from n join o on o.size = n.size and o.hash = n.hash where n.id not in ({_NAMED}))
+select new_id, old_id from c where r = 1""")
+def content_match(old, new, named):
+    return match.content_match(old, new, named, ["size", "hash"])
+
+
+_PIECES = " union all ".join(f"select section, src as body, cast({o} as bigint) as old, cast({n} as bigint) as new, cast({k} as bigint) as n from ({UNITS}) u where src_size <> dst_size" for o, n, k in ((1, 0, 5), (8, 10, 4)))
+_OFFSETS = f"select section, id, src as body, (id * 7) % src_size as o, dst_size as new_size from ({UNITS}) u"
+
+
+def _moved(probes: str) -> str:
+    return f"""select p.section, p.id, p.o, p.new_size, coalesce(max(case when o >= s.old and o < s.old + s.n then s.new + o - s.old end), case when o < new_size and not coalesce(bool_or(o >= s.new and o < s.new + s.n), false) then o
+  else greatest(0, least(new_size, o + coalesce(arg_max(s.new - s.old, case when s.old + s.n <= o then s.old end), 0))) end) as mapped
+  from ({probes}) p left join ({_PIECES}) s on s.section = p.section and s.body = p.body group by p.section, p.id, p.o, p.new_size"""
+
+
+@query(_OFFSETS, _PIECES, oracle=_moved(_OFFSETS))
+def segment_offset(probes, pieces):
+    return addresses.segment_offset(probes, pieces, S).drop("body")
+
+
+_EACH = "select distinct cast(o_custkey % 16 as bigint) as section from {orders}"
+_REFERRED = f"select section, id, src as self, src + id % 60 + case when id % 7 = 0 then 30000 else 0 end as addr from ({UNITS}) u"
+_TEXT = f"select section, cast(100 as bigint) as text_lo, cast(25000 as bigint) as text_hi, cast(120 as bigint) as text_new from ({_EACH}) e"
+_BODIED = f"select section, src, src_size - 3 as src_size, case when id % 11 <> 0 then dst end as dst, dst_size from ({UNITS}) u"
+_DATA = " union all ".join(f"select section, '{n}' as name, cast({lo} as bigint) as lo, cast({hi} as bigint) as hi, cast({to} as bigint) as {{q}}to{{q}} from ({_EACH.replace('{orders}', '{{orders}}')}) e" for n, lo, hi, to in (("rodata", 25000, 30000, 26000), ("data", 30000, 40000, 33000), ("lost", 41000, 42000, "null")))
+_MOVES = " union all ".join(f"select section, 'data' as name, cast({o} as bigint) as off, cast({d} as bigint) as delta from ({_EACH}) e" for o, d in ((0, 0), (500, 16), (6000, -8)))
+_FORCED = f"select distinct section, addr, addr + 7 as {{q}}to{{q}} from ({_REFERRED.replace('{orders}', '{{orders}}')}) r where addr % 50 = 0"
+
+
+@query(_REFERRED, _TEXT, _BODIED, _PIECES, _DATA.format(q="`"), _MOVES, _FORCED.format(q="`"), oracle=f"""with r as ({_REFERRED}), t as ({_TEXT}), d as ({_DATA.format(q='"')}), f as ({_FORCED.format(q='"')}), cut as (select distinct section, body from ({_PIECES}) c),
+b as (select r.section, r.id, r.self, r.addr, b.src as body, b.dst, r.addr - b.src as o, b.dst_size as new_size from r left join ({_BODIED}) b on b.section = r.section and r.addr >= b.src and r.addr < b.src + b.src_size),
+g as ({_moved('select section, id, body, o, new_size from b where body is not null')}),
+x as (select b.*, t.text_lo, t.text_new, b.addr >= t.text_lo and b.addr < t.text_hi as intext, case when cut.body is not null then g.mapped else b.o end as place,
+  case when a.name is not null then a.name else z.name end as name, case when a.name is not null then a.lo else z.lo end as lo, case when a.name is not null then a."to" else z."to" end as base
+  from b join t on t.section = b.section left join g on g.section = b.section and g.id = b.id left join cut on cut.section = b.section and cut.body = b.body
+  left join d a on a.section = b.section and b.addr >= a.lo and b.addr < a.hi left join d z on z.section = b.section and b.addr - 1 >= z.lo and b.addr - 1 < z.hi),
+y as (select x.*, case when intext and body is null then 'none' when intext and dst is null then 'unmatched' when intext and body = self then 'self' when intext then 'matched' when base is null then 'outside' else 'data' end as class,
+  coalesce((select arg_max(delta, m.off) from ({_MOVES}) m where m.section = x.section and m.name = x.name and m.off <= x.addr - x.lo), 0) as delta from x)
+select y.section, y.id, y.self, y.addr, class, coalesce(f."to", case class when 'none' then text_new + y.addr - text_lo when 'self' then dst + place when 'matched' then dst + place when 'data' then base + y.addr - lo + delta end) as target
+from y left join f on f.section = y.section and f.addr = y.addr""")
+def address_map(refs, text, bodies, pieces, data, shifts, overrides):
+    return addresses.address_map(refs, text, bodies, pieces, data, shifts, overrides, S)
+
+
+#: Two windows of code and one of data, in memory 1,000 past their place in the file.
+_SPANS = " union all ".join(
+    f"select section, cast({lo + 1000} as bigint) as old_addr, cast({n} as bigint) as old_size, cast({lo} as bigint) as old_off, cast({to + 2000} as bigint) as new_addr, cast({m} as bigint) as new_size, cast({to} as bigint) as new_off, {code} as code from ({_EACH}) e"
+    for lo, n, to, m, code in ((0, 1200, 0, 1150, "true"), (1300, 1500, 1250, 1600, "true"), (2900, 20000, 2900, 19000, "false"))
+)
+_ASKED = f"select p.*, cast(30000 as bigint) as old_len, cast(29000 as bigint) as new_len from ({PROBES}) p"
+
+
+def _bytes(table: str, at: str, also: str) -> str:
+    """Named parts of a WITH for the place of each probe's bytes: l has file, new and the landing span."""
+    return f"""s as ({_SPANS}), r as ({RUNS}), q as (select a.*, s.code as oldcode, s.old_off + a.{at} - s.old_addr as file from ({table}) a left join s on s.section = a.section and a.{at} >= s.old_addr and a.{at} < s.old_addr + s.old_size),
+b1 as (select q.*, r.src as bs, r.dst as bd, r.n as bn from q asof left join r on r.section = q.section and q.file >= r.src),
+f1 as (select b1.*, r.src as fs, r.dst as fd from b1 asof left join r on r.section = b1.section and b1.file < r.src),
+n1 as (select section, {also}, file, oldcode, old_len, new_len, case when file < old_len then greatest(0, least(new_len - 1, file + case when bs is not null and (file < bs + bn or fs is null or file - bs - bn < fs - file) then bd - bs else fd - fs end)) end as new from f1),
+l as (select n1.*, s.new_addr + n1.new - s.new_off as anyw, case when s.code then s.new_addr + n1.new - s.new_off end as into_ from n1 left join s on s.section = n1.section and n1.new >= s.new_off and n1.new < s.new_off + s.new_size)"""
+
+
+def _evidence(at: str) -> str:
+    """Points, maps and ranges beside l."""
+    return f"""m as ({MAPS}), t as ({POINTS}), g as ({RANGES}), x as (select l.*, t.new as a, case when l.{at} - m.src < m.dst_size then m.dst + l.{at} - m.src end as b, g.new + l.{at} - g.old as c from l
+ left join t on t.section = l.section and t.old = l.{at} left join m on m.section = l.section and l.{at} >= m.src and l.{at} < m.src + m.src_size left join g on g.section = l.section and l.{at} >= g.old and l.{at} < g.old + g.size)"""
+
+
+@query(_ASKED, _SPANS, RUNS, POINTS, MAPS, RANGES, oracle=f"""with {_bytes(_ASKED, "addr", "event_id, addr")}, {_evidence("addr")}
+select section, event_id, addr, old_len, new_len, case when oldcode then coalesce(into_, a, b, c) else coalesce(a, anyw, b, c) end as displacement, coalesce(a, b, anyw, c) as pointer from x""")
+def reference_targets(probes, spans, runs_, points, maps_, ranges):
+    return addresses.reference_targets(probes, spans, runs_, points, maps_, ranges, S)
+
+
+_HELD = f"select section, id, src + 1000 as slot, dst + id % 3 * 20000 as value, cast(30000 as bigint) as old_len, cast(29000 as bigint) as new_len from ({UNITS}) u"
+
+
+@query(_HELD, _SPANS, RUNS, POINTS, MAPS, RANGES, oracle=f"""with placed as (with {_bytes(_HELD, "slot", "id, slot, value")} select section, id, slot, value, old_len, new_len, case when file + 8 <= old_len and new + 8 <= new_len then new end as new_off from l),
+{_bytes("select * from placed", "value", "id, slot, value, new_off")}, {_evidence("value")}
+select section, id, slot, value, old_len, new_len, new_off, case when new_off is not null then coalesce(a, b, anyw, c) end as target, case when new_off is null then 'unplaced' when coalesce(a, b, anyw, c) is null then 'unknown' else 'retargeted' end as status from x""")
+def pointer_slots(slots, spans, runs_, points, maps_, ranges):
+    return addresses.pointer_slots(slots, spans, runs_, points, maps_, ranges, S)
+
+
+_RECORDS = f"select section, ord, id % 3 <> 0 as matched, id % 3 * 100 + id % 11 as cu, src_size % 5 as a, dst_size % 3 as b, dst_size as len from ({UNITS}) u"
+
+
+@query(_RECORDS, oracle=f"""with u as ({_RECORDS}), {", ".join(f"m{f} as (select section, {f}, row_number() over (partition by section order by count(*) desc, {f}) as r from u where matched group by 1, 2)" for f in "ab")}
+select u.section, u.ord, matched, coalesce(last_value(case when matched then cu end ignore nulls) over (partition by u.section order by u.ord), 0) as cu, case when matched then u.a else ma.a end as a, case when matched then u.b else mb.b end as b, len,
+ cast(sum((len + 7) // 8 * 8) over (partition by u.section order by u.ord) - (len + 7) // 8 * 8 as bigint) as "offset" from u left join ma on ma.section = u.section and ma.r = 1 left join mb on mb.section = u.section and mb.r = 1""")
+def predict_records(units):
+    return addresses.predict_records(units, S, ["a", "b"])
