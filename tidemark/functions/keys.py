@@ -78,3 +78,8 @@ def zigzag(v: Column) -> Column:
 
 def unzigzag(u: Column) -> Column:
     return F.shiftrightunsigned(u, 1).bitwiseXOR(-u.bitwiseAND(F.lit(1).cast("long")))
+
+
+def coder_pays(coded: Column, incumbent: Column, least: int = 2048) -> Column:
+    """Whether a slow coder's size is worth its time: it saves more than ``least`` bytes and more than a tenth."""
+    return coded + F.greatest(F.lit(least).cast("long"), F.call_function("div", incumbent, F.lit(10))) < incumbent

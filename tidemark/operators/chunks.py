@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import functools
+import zlib
 
 import numpy as np
 import pandas as pd
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StringType, StructType
 
 
 def fixed_chunks(rows: DataFrame, size: int, by: list[str], data: str = "data") -> DataFrame:
@@ -73,3 +76,23 @@ def content_chunks(rows: DataFrame, average: int, by: list[str], data: str = "da
     start = F.coalesce(F.get("_e", F.col("_i") - 1), F.lit(0))
     piece = F.substring(F.col(data), start + 1, F.col("_end") - start)
     return ends.select(*by, F.col("_i").cast("long").alias("chunk_no"), piece.alias("_p")).select(*by, "chunk_no", F.octet_length("_p").cast("long").alias("n"), F.sha2("_p", 256).alias("hash"))
+
+
+_FORMS = {
+    "raw": (bytes, bytes),
+    "zstd": (lambda b: zstandard.ZstdCompressor(level=9).compress(b), lambda b: zstandard.ZstdDecompressor().decompress(b)),
+    "zlib": (lambda b: zlib.compress(b, 9), zlib.decompress),
+}
+
+
+@F.pandas_udf(StructType().add("codec", StringType()).add("packed", BinaryType()))
+def smallest_form(values: pd.Series) -> pd.DataFrame:
+    """Each value in the smallest of its raw, zstd and zlib forms, the first of them on a tie; null of null."""
+    best = [(None, None) if v is None else min(((n, pack(bytes(v))) for n, (pack, _) in _FORMS.items()), key=lambda f: len(f[1])) for v in values]
+    return pd.DataFrame(best, columns=["codec", "packed"])
+
+
+@F.pandas_udf(BinaryType())
+def restored(codecs: pd.Series, packed: pd.Series) -> pd.Series:
+    """The values of ``smallest_form`` again; an unknown codec is an error."""
+    return pd.Series([None if c is None else _FORMS[c][1](bytes(p)) for c, p in zip(codecs, packed, strict=True)], dtype=object)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -127,3 +128,22 @@ def marginal_price(rows: DataFrame, by: str, value: str, level: int = 3) -> Data
 
     spread = rows.repartition(F.col(by)).sortWithinPartitions(by, "ord")
     return spread.select(by, value).mapInPandas(price, f"{by} {rows.schema[by].dataType.simpleString()}, n long, bytes long")
+
+
+def drop_overlaps(bodies: DataFrame, section: str) -> DataFrame:
+    """The bodies (section, idx, dst, size) that start at or past the end of the last one kept, by dst, then idx.
+
+    Each choice depends on the one before, so a section is one group; sections share nothing.
+    """
+
+    def keep(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["dst", "idx"], ignore_index=True)
+        starts, ends = rows["dst"].to_numpy(), (rows["dst"] + rows["size"]).to_numpy()
+        kept, at = [], 0
+        while at < len(rows):
+            kept.append(at)
+            # Starts are sorted: the next one kept is the first at or past this end, and never this one again.
+            at = max(at + 1, int(np.searchsorted(starts, ends[at], "left")))
+        return rows.iloc[kept]
+
+    return bodies.groupBy(section).applyInPandas(keep, bodies.schema)

@@ -70,6 +70,61 @@ def merged_regions(diffs: DataFrame, by: list[str], m: int) -> DataFrame:
     return marked.groupBy(*by, "_r").agg(F.min("pos").alias("start"), (F.max("pos") + 1).alias("end"), F.count("*").alias("n")).drop("_r")
 
 
+def word_regions(cells: DataFrame, by: list[str], merge: int = 32, word: int = 8) -> DataFrame:
+    """(by.., start, end): merged regions of differing cells widened to words, the last one at most to the cells' end.
+    ``merge`` is twice ``word`` or more, so that widened regions stay apart."""
+    if merge < 2 * word:
+        raise ValueError("regions merged over so few cells could overlap once widened")
+    ends = cells.groupBy(*by).agg((F.max("pos") + 1).alias("_len"))
+    found = merged_regions(cells.where("pred <> want").select(*by, "pos"), by, merge).join(ends, by)
+    start, end = F.col("start") - F.col("start") % word, F.col("end") + F.pmod(-F.col("end"), F.lit(word))
+    return found.select(*by, start.alias("start"), F.least(end, F.col("_len")).alias("end"))
+
+
+def region_modes(cells: DataFrame, by: list[str], passes: int = 3) -> DataFrame:
+    """(by.., start, mode, bits): for each word region of bytes (pos, pred, want) the cheapest of 0 the wanted bytes, 1
+    their exclusive ors with the predicted ones, 2 their differences modulo 256. A mode's bytes are priced by the counts
+    of the bytes it was chosen for in the pass before (each raised by a half); at first all regions take mode 0.
+
+    Passes run over byte counts of regions, not over cells; a model is at most 3 x 256 rows a section.
+    """
+    from tidemark.operators.lookup import holding
+
+    spans = word_regions(cells, by).select(*by, F.col("start").alias("lo"), F.col("end").alias("hi"), "start")
+    want, pred = F.col("want"), F.col("pred")
+    forms = F.array(want, want.bitwiseXOR(pred), F.pmod(want - pred, F.lit(256)))
+    counts = holding(cells, spans, by, "pos", ["start"]).where("start is not null").select(*by, "start", F.posexplode(forms).alias("mode", "byte"))
+    counts = counts.groupBy(*by, "start", "mode", "byte").agg(F.count("*").alias("n"))
+    chosen = counts.select(*by, "start").distinct().withColumn("mode", F.lit(0))
+    for _ in range(passes):
+        model = counts.join(chosen, [*by, "start", "mode"]).groupBy(*by, "mode", "byte").agg(F.sum("n").alias("_c"))
+        total = model.groupBy(*by, "mode").agg(F.sum("_c").alias("_t"))
+        some = lambda c: F.coalesce(c, F.lit(0).cast("long"))
+        told = counts.join(model, [*by, "mode", "byte"], "left").join(total, [*by, "mode"], "left")
+        bits = F.sum(F.col("n") * (F.log2(some("_t") + 128) - F.log2(some("_c") + 0.5)))
+        cost = told.groupBy(*by, "start", "mode").agg(F.round(bits, 6).alias("bits"))
+        best = cost.groupBy(*by, "start").agg(F.min(F.struct("bits", "mode")).alias("b"))
+        chosen = best.select(*by, "start", F.col("b.mode").alias("mode"), F.col("b.bits").alias("bits"))
+    return chosen
+
+
+def boundaries(cells: DataFrame, by: list[str], pad: int = 0xCC, align: int = 8) -> DataFrame:
+    """(by.., pos): the first cell (pos, value) and each aligned one that is no padding and follows padding."""
+    before = cells.where(F.col("value") == pad).select(*by, (F.col("pos") + 1).alias("pos"), F.lit(True).alias("_after"))
+    seen = cells.where((F.col("pos") % align == 0) & (F.col("value") != pad)).join(before, [*by, "pos"], "left").where("_after and pos > 0")
+    return cells.where("pos = 0").select(*by, "pos").unionAll(seen.select(*by, "pos"))
+
+
+def padding_extent(spans: DataFrame, cells: DataFrame, by: list[str], pad: int = 0xCC) -> DataFrame:
+    """spans (by.., start, next) with size: up to the next start without the padding before it."""
+    from tidemark.operators.lookup import asof
+
+    full = cells.where(F.col("value") != pad).select(*by, "pos", F.col("pos").alias("_last"))
+    got = asof(spans.withColumn("_at", F.col("next") - 1), full, by, "_at", ["_last"])
+    zero = F.lit(0).cast("long")
+    return got.select(*spans.columns, F.greatest(F.coalesce(F.col("_last") + 1 - F.col("start"), zero), zero).alias("size"))
+
+
 def diff_runs(cells: DataFrame, by: list[str]) -> DataFrame:
     """(by.., start, n, bytes): maximal runs of positions where pred and want differ, with the wanted values in order."""
     wrong = cells.where("pred <> want")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import keys
 from tidemark.operators import addresses, align, attribute, chunks, lookup, maps, match, predict, reloc, runs, vote
-from tidemark.plans import versions
+from tidemark.plans import strategies, versions
 from tidemark.plans.pairs import CELLS, MAPS, MARKS, NEW, OLD, POINTS, PROBES, RANGES, RUNS, UNITS, VOTES, frame, sql
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -841,3 +841,66 @@ select u.section, u.ord, matched, coalesce(last_value(case when matched then cu
  cast(sum((len + 7) // 8 * 8) over (partition by u.section order by u.ord) - (len + 7) // 8 * 8 as bigint) as "offset" from u left join ma on ma.section = u.section and ma.r = 1 left join mb on mb.section = u.section and mb.r = 1""")
 def predict_records(units):
     return addresses.predict_records(units, S, ["a", "b"])
+
+
+_REGIONED = f"""with c as ({CELLS}), n as (select section, max(pos) + 1 as n from c group by 1), d as (select section, pos, case when pos - lag(pos) over (partition by section order by pos) - 1 < 32 then 0 else 1 end as b from c where pred <> want),
+g as (select *, sum(b) over (partition by section order by pos) as g from d), w as (select g.section, min(pos) // 8 * 8 as start, least((max(pos) + 8) // 8 * 8, any_value(n)) as stop from g join n on n.section = g.section group by g.section, g.g),
+f as (select w.section, w.start, c.pred, c.want from w join c on c.section = w.section and c.pos >= w.start and c.pos < w.stop),
+e as (select section, start, 0 as mode, want as byte from f union all select section, start, 1, xor(want, pred) from f union all select section, start, 2, (want - pred + 256) % 256 from f),
+k as (select section, start, mode, byte, count(*) as n from e group by 1, 2, 3, 4), p0 as (select distinct section, start, 0 as mode from k)"""
+_PASS = """, h{1} as (select k.section, k.mode, byte, sum(n) as c from k join p{0} p on p.section = k.section and p.start = k.start and p.mode = k.mode group by 1, 2, 3), t{1} as (select section, mode, sum(c) as t from h{1} group by 1, 2),
+q{1} as (select k.section, k.start, k.mode, round(sum(n * (log2(coalesce(t, 0) + 128) - log2(coalesce(c, 0) + 0.5))), 6) as bits from k left join h{1} h on h.section = k.section and h.mode = k.mode and h.byte = k.byte left join t{1} t on t.section = k.section and t.mode = k.mode group by 1, 2, 3),
+p{1} as (select section, start, mode, bits from (select *, row_number() over (partition by section, start order by bits, mode) as r from q{1}) where r = 1)"""
+
+
+@query(CELLS, oracle=f"{_REGIONED}{''.join(_PASS.format(i, i + 1) for i in range(3))} select section, start, mode, round(bits, 4) as bits from p3")
+def region_modes(cells):
+    return runs.region_modes(cells, S).withColumn("bits", F.round("bits", 4))
+
+
+_CODE = f"select section, pos, case when pos % 24 > 17 or pos % 9 = 0 then 204 else pred end as value from ({CELLS}) c"
+_NEXTS = f"select section, pos as start, pos + pos % 29 as next from ({CELLS}) c"
+
+
+@query(_CODE, oracle=f"select section, pos from (select *, lag(value) over (partition by section order by pos) as b from ({_CODE})) where pos = 0 or (pos % 8 = 0 and value <> 204 and b = 204)")
+def boundaries(cells):
+    return runs.boundaries(cells, S)
+
+
+@query(_NEXTS, _CODE, oracle=f"select e.section, e.start, e.next, coalesce(max(c.pos) + 1 - e.start, 0) as size from ({_NEXTS}) e left join ({_CODE}) c on c.section = e.section and c.pos >= e.start and c.pos < e.next and c.value <> 204 group by 1, 2, 3")
+def padding_extent(spans, cells):
+    return runs.padding_extent(spans, cells, S)
+
+
+_CROWDED = f"select section, id as idx, (id * 37) % 9000 as dst, 5 + cents % 60 as size from ({OLD}) o"
+
+
+@query(_CROWDED, oracle=f"""with recursive u as (select *, row_number() over (partition by section order by dst, idx) as r from ({_CROWDED})), k as (select section, r, idx, dst, size, true as kept, dst + size as e from u where r = 1
+ union all select u.section, u.r, u.idx, u.dst, u.size, u.dst >= k.e, case when u.dst >= k.e then u.dst + u.size else k.e end from k join u on u.section = k.section and u.r = k.r + 1) select section, idx, dst, size from k where kept""")
+def drop_overlaps(bodies):
+    return predict.drop_overlaps(bodies, "section")
+
+
+@query(f"select section, ord, src_size * 997 as incumbent, dst_size * 800 as coded from ({UNITS}) u", oracle=f"select section, ord, coded + greatest(2048, incumbent // 10) < incumbent as pays from (select section, ord, src_size * 997 as incumbent, dst_size * 800 as coded from ({UNITS}) u)")
+def coder_pays(sizes):
+    return sizes.select("section", "ord", keys.coder_pays(F.col("coded"), F.col("incumbent")).alias("pays"))
+
+
+@query("select doc_id, encode(text, 'UTF-8') as data from {documents}", oracle="select doc_id, octet_length(encode(text)) as n, md5(text) as hash, true as smaller from {documents}")
+def smallest_form(rows):
+    """Texts packed in their smallest form and restored: the digests of the texts, and whether none grew."""
+    packed = rows.withColumn("form", chunks.smallest_form("data"))
+    back = packed.select("doc_id", F.octet_length("form.packed").alias("_p"), F.octet_length("data").alias("_n"), chunks.restored("form.codec", "form.packed").alias("back"))
+    return back.select("doc_id", F.octet_length("back").alias("n"), F.md5("back").alias("hash"), (F.col("_p") <= F.col("_n")).alias("smaller"))
+
+
+@query(OLD, NEW, oracle=f"select 'changes' as pair, 0 as strategy, (select count(*) from ({NEW})) as n_rows union all select 'same', 1, (select count(*) from ({OLD})) union all select 'appended', 2, (select 2 * count(*) from ({OLD}))")
+def strategy_choice(old, new):
+    """The strategy taken for three pairs of versions, and the rows of the table it makes again."""
+    registry, out = strategies.Registry(), None
+    more = old.unionByName(old.withColumn("id", -F.col("id") - 1))
+    for name, b in (("changes", new), ("same", old), ("appended", more)):
+        patch = strategies.encode(old, b, ["id"], registry)
+        made = strategies.apply(old, patch, registry).agg(F.lit(name).alias("pair"), F.lit(patch.strategy).alias("strategy"), F.count("*").alias("n_rows"))
+        out = made if out is None else out.unionAll(made)
+    return out
