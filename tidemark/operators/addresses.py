@@ -132,3 +132,30 @@ def predict_records(units: DataFrame, by: list[str], fields: list[str]) -> DataF
     for f in fields:
         p = p.withColumn(f, F.when(F.col("matched"), F.col(f)).otherwise(F.col(f"_{f}")))
     return p.select(*units.columns, "offset")
+
+
+def unwind_rewrite(frames: DataFrame, places: DataFrame, runs: DataFrame, points: DataFrame, maps: DataFrame, ranges: DataFrame, by: list[str]) -> DataFrame:
+    """frames (by.., id, entry, loc, cie: file offsets; addr: the old address described; size; old_len, new_len) with
+    what is rewritten: cie_back, the distance from the entry's second word to its common entry; location, the new
+    address relative to the field that holds it; new_size; and known, whether location is.
+
+    Offsets go where the bytes went, within the new section (places: by.., at, n, address). The size follows the map
+    that starts at addr only where that map's old size is the stored one and its new size differs; else it stays.
+    """
+    p = frames
+    for c in ("entry", "loc", "cie"):
+        p = lookup.nearest_run_project(p, runs, by, c).withColumnRenamed("projected", f"_{c}")
+    p = p.join(places.select(*by, F.col("at").alias("_at"), F.col("n").alias("_n"), F.col("address").alias("_address")), by)
+    inside = lambda c, k: (F.col(c) >= F.col("_at")) & (F.col(c) + k <= F.col("_at") + F.col("_n"))
+    p = lookup.lookup_cascade(p, points, maps, ranges, by).withColumnRenamed("target", "_to")
+    own = maps.select(*by, F.col("src").alias("addr"), F.col("src_size").alias("_was"), F.col("dst_size").alias("_is"))
+    p = p.join(own, [*by, "addr"], "left")
+    placed = F.coalesce(inside("_loc", 4) & F.col("_entry").isNotNull(), F.lit(False))
+    field = F.col("_address") + F.col("_loc") - F.col("_at")
+    back = F.col("_entry") + 4 - F.col("_cie")
+    known = placed & F.col("_to").isNotNull()
+    resized = known & inside("_loc", 8) & (F.col("_was") == F.col("size")) & (F.col("_is") != F.col("size"))
+    return p.select(
+        *frames.columns, F.when(placed & inside("_entry", 8) & (F.col("_cie") >= F.col("_at")) & (back > 0), back).alias("cie_back"), F.when(known, F.col("_to") - field).alias("location"),
+        F.when(resized, F.col("_is")).otherwise(F.col("size")).alias("new_size"), known.alias("known"),
+    )

@@ -904,3 +904,24 @@ def strategy_choice(old, new):
         made = strategies.apply(old, patch, registry).agg(F.lit(name).alias("pair"), F.lit(patch.strategy).alias("strategy"), F.count("*").alias("n_rows"))
         out = made if out is None else out.unionAll(made)
     return out
+
+
+_FRAMES = f"select section, id, src as entry, src + 8 as loc, src - src % 400 as cie, src as addr, src_size - case when id % 3 = 0 then 1 else 0 end as size, cast(30000 as bigint) as old_len, cast(29000 as bigint) as new_len from ({UNITS}) u"
+_PLACES = f"select section, cast(40 as bigint) as {{q}}at{{q}}, cast(25000 as bigint) as n, cast(700000 as bigint) as address from ({_EACH.replace('{orders}', '{{orders}}')}) e"
+
+
+def _projected(at: str) -> str:
+    """The projection of a column of the frames, as named parts of a WITH ending in j_<column>."""
+    return f"""b_{at} as (select q.section, q.id, q.{at}, q.old_len, q.new_len, r.src as bs, r.dst as bd, r.n as bn from q asof left join r on r.section = q.section and q.{at} >= r.src),
+f_{at} as (select b.*, r.src as fs, r.dst as fd from b_{at} b asof left join r on r.section = b.section and b.{at} < r.src),
+j_{at} as (select section, id, case when {at} < old_len then greatest(0, least(new_len - 1, {at} + case when bs is not null and ({at} < bs + bn or fs is null or {at} - bs - bn < fs - {at}) then bd - bs else fd - fs end)) end as v from f_{at})"""
+
+
+@query(_FRAMES, _PLACES.format(q="`"), RUNS, POINTS, MAPS, RANGES, oracle=f"""with q as ({_FRAMES}), r as ({RUNS}), l as (select section, id, addr from q), {_evidence("addr")}, {_projected("entry")}, {_projected("loc")}, {_projected("cie")},
+y as (select q.*, e.v as ne, o.v as nl, c.v as nc, coalesce(x.a, x.b, x.c) as t, w.src_size as was, w.dst_size as now from q join j_entry e on e.section = q.section and e.id = q.id join j_loc o on o.section = q.section and o.id = q.id
+ join j_cie c on c.section = q.section and c.id = q.id join x on x.section = q.section and x.id = q.id left join m w on w.section = q.section and w.src = q.addr),
+z as (select *, ne is not null and nl is not null and nl >= 40 and nl + 4 <= 25040 as placed from y)
+select section, id, entry, loc, cie, addr, size, old_len, new_len, case when placed and ne >= 40 and ne + 8 <= 25040 and nc >= 40 and nc < ne + 4 then ne + 4 - nc end as cie_back, case when placed then t - (700000 + nl - 40) end as location,
+ case when placed and t is not null and nl + 8 <= 25040 and was = size and now <> size then now else size end as new_size, placed and t is not null as known from z""")
+def unwind_rewrite(frames, places, runs_, points, maps_, ranges):
+    return addresses.unwind_rewrite(frames, places, runs_, points, maps_, ranges, S)
