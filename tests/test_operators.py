@@ -201,3 +201,23 @@ def test_results_do_not_depend_on_partitions(spark):
         got.append(rows(runs.keep_drop_runs(cells, S)))
     spark.conf.set("spark.sql.shuffle.partitions", "4")
     assert got[0] == got[1]
+
+
+def test_best_candidates_are_those_of_all_pairs(spark):
+    """Without a join of the two sides on a name: one that all rows share makes no pairs."""
+    rng = random.Random(6)
+    some = lambda *v: rng.choice([*v, None])
+    rows = [(i, some("a", "b", "c"), some("a", "x"), some("t", "u"), some(1, 2, 3)) for i in rng.sample(range(900), 240)]
+    levels = [(3, ["p", "b", "z"]), (2, ["t", "z"]), (1, ["z"]), (0, [])]
+    df = spark.createDataFrame(rows, "id long, p string, b string, t string, z int").withColumn("names", F.array("p", "b"))
+    out = match.best_candidate_match(df.where("id % 2 = 0"), df.where("id % 2 = 1"), levels)
+    want, at = {}, {"p": 1, "b": 2, "t": 3, "z": 4}
+    for n in rows:
+        for o in rows:
+            if n[0] % 2 and not o[0] % 2:
+                for k in (1, 2):
+                    if n[k] is not None and n[k] in o[1:3]:
+                        score = next(s for s, cs in levels if all(n[at[c]] is not None and n[at[c]] == o[at[c]] for c in cs))
+                        want[n[0]] = min(want.get(n[0], (1,)), (-score, abs(n[0] - o[0]), k, o[0]))
+    assert {r.new_id: (r.old_id, r.score, r.copy) for r in out.collect()} == {n: (w[3], -w[0], w[0] <= -2) for n, w in want.items()}
+    assert "Join" not in out._jdf.queryExecution().sparkPlan().toString()

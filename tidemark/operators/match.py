@@ -24,16 +24,34 @@ def staged_match(old: DataFrame, new: DataFrame, stages: list[tuple[str, str]],
     return out
 
 
-def best_candidate_match(old: DataFrame, new: DataFrame, score: Column, near: Column) -> DataFrame:
+def best_candidate_match(old: DataFrame, new: DataFrame, levels: list[tuple[int, list[str]]]) -> DataFrame:
     """(new_id, old_id, score, copy): for each new row the old row sharing any name with the best score, then the
-    least distance, then the first by name and old id. Both sides: id, names (array), fields as columns
-    (prefixed o_ and n_ by the caller), which ``score`` and ``near`` read."""
-    a = old.select("*", F.posexplode("o_names").alias("_p", "name"))
-    b = new.select("*", F.posexplode("n_names").alias("name_ord", "name"))
-    both = b.join(a, "name").withColumn("score", score).withColumn("near", near)
-    first = Window.partitionBy("n_id").orderBy(F.desc("score"), "near", "name_ord", "o_id")
-    best = both.withColumn("_r", F.row_number().over(first)).where("_r = 1")
-    return best.select(F.col("n_id").alias("new_id"), F.col("o_id").alias("old_id"), "score", (F.col("score") >= 2).alias("copy"))
+    least distance of ids, then the first by name and old id. Both sides: id, names (array) and the fields of
+    ``levels``: (score, fields), from the best; a pair has the first score whose fields are all equal.
+
+    Pairs are never formed: at the best level that holds any candidate the nearest one is the old id before or after
+    among the rows of equal name and fields, so a frequent name costs two sorts of its rows.
+    """
+    fields = sorted({c for _, cs in levels for c in cs})
+    used = {c: [i for i, (_, cs) in enumerate(levels) if c in cs] for c in fields}
+
+    def keyed(side: DataFrame, is_new: bool):
+        rows = side.select("id", *fields, F.posexplode("names").alias("_o", "name")).where("name is not null")
+        rows = rows.withColumn("_l", F.explode(F.array(*[F.lit(i) for i in range(len(levels))])))
+        for c in fields:
+            asks = F.col("_l").isin(used[c])
+            rows = rows.where(~asks | F.col(c).isNotNull()).withColumn(c, F.when(asks, F.col(c)))
+        return rows.select("_l", "name", *fields, "_o", "id", F.lit(is_new).alias("_new"))
+
+    both = keyed(old, False).unionByName(keyed(new, True))
+    group = Window.partitionBy("_l", "name", *fields)
+    seen = F.last(F.when(~F.col("_new"), F.col("id")), ignorenulls=True)
+    upto = lambda order: seen.over(group.orderBy(order, "_new").rowsBetween(Window.unboundedPreceding, 0))
+    told = both.withColumn("_back", upto(F.col("id"))).withColumn("_ahead", upto(F.desc("id"))).where("_new")
+    found = lambda o: F.when(F.col(o).isNotNull(), F.struct("_l", F.abs(F.col("id") - F.col(o)).alias("near"), "_o", F.col(o).alias("old_id")))
+    best = told.groupBy("id").agg(F.min(F.least(found("_back"), found("_ahead"))).alias("b")).where("b is not null")
+    score = F.element_at(F.array(*[F.lit(s) for s, _ in levels]), F.col("b._l") + 1)
+    return best.select(F.col("id").alias("new_id"), "b.old_id", score.alias("score")).withColumn("copy", F.col("score") >= 2)
 
 
 def unambiguous_pairs(pairs: DataFrame) -> DataFrame:

@@ -70,10 +70,8 @@ select new_id, old_id, score, score >= 2 as copy from r where r = 1"""
 
 @query(_PART, oracle=_BEST)
 def best_candidate_match(part):
-    side = lambda p: part.where(f"p_partkey % 2 = {0 if p == 'o' else 1}").select(F.col("p_partkey").alias(f"{p}_id"), *[F.col(f"p_{c}").alias(f"{p}_{c}") for c in ("name", "brand", "type", "size")], F.array("p_name", "p_brand").alias(f"{p}_names"))
-    same = lambda *cs: F.expr(" and ".join(f"n_{c} = o_{c}" for c in cs))
-    score = F.when(same("name", "brand", "size"), 3).when(same("type", "size"), 2).when(same("size"), 1).otherwise(0)
-    return match.best_candidate_match(side("o"), side("n"), score, F.abs(F.col("n_id") - F.col("o_id")))
+    side = lambda r: part.where(f"p_partkey % 2 = {r}").select(F.col("p_partkey").alias("id"), *[F.col(f"p_{c}").alias(c) for c in ("brand", "type", "size")], F.col("p_name").alias("pname"), F.array("p_name", "p_brand").alias("names"))
+    return match.best_candidate_match(side(0), side(1), [(3, ["pname", "brand", "size"]), (2, ["type", "size"]), (1, ["size"]), (0, [])])
 
 
 @query("select l_orderkey as o, l_suppkey as n from {lineitem}", oracle="select l_orderkey as o, min(l_suppkey) as n from {lineitem} group by 1 having min(l_suppkey) = max(l_suppkey)")
