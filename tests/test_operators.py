@@ -221,3 +221,14 @@ def test_best_candidates_are_those_of_all_pairs(spark):
                         want[n[0]] = min(want.get(n[0], (1,)), (-score, abs(n[0] - o[0]), k, o[0]))
     assert {r.new_id: (r.old_id, r.score, r.copy) for r in out.collect()} == {n: (w[3], -w[0], w[0] <= -2) for n, w in want.items()}
     assert "Join" not in out._jdf.queryExecution().sparkPlan().toString()
+
+
+def test_reliable_blocks_look_ahead_in_linear_time(spark):
+    rng = random.Random(7)
+    rows = [(s, i, rng.randrange(3), rng.random() < 0.4) for s in range(3) for i in range(150)]
+    out = runs.reliable_blocks(spark.createDataFrame(rows, "section long, ord long, delta long, matched boolean"), S)
+    for s, i, _, matched, reliable in out.collect():
+        back = [r[2] for r in rows if r[0] == s and r[1] < i and r[3]]
+        ahead = [r[2] for r in rows if r[0] == s and r[1] > i and r[3]]
+        assert reliable == (matched or bool(back and ahead and back[-1] == ahead[0]))
+    assert "unboundedfollowing" not in out._jdf.queryExecution().sparkPlan().toString().lower()

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def _over(by: list[str], *order: str):
+def _over(by: list[str], *order: str | Column):
     return Window.partitionBy(*by).orderBy(*order)
 
 
@@ -30,7 +30,8 @@ def reliable_blocks(blocks: DataFrame, by: list[str]) -> DataFrame:
     """blocks (ord, delta, matched) with reliable: matched, or between matched blocks of one shift."""
     seen = F.when(F.col("matched"), F.col("delta"))
     back = F.last(seen, ignorenulls=True).over(_over(by, "ord").rowsBetween(Window.unboundedPreceding, -1))
-    ahead = F.first(seen, ignorenulls=True).over(_over(by, "ord").rowsBetween(1, Window.unboundedFollowing))
+    # Backwards in order: a frame that ends at the section's end is read whole for each row.
+    ahead = F.last(seen, ignorenulls=True).over(_over(by, F.desc("ord")).rowsBetween(Window.unboundedPreceding, -1))
     return blocks.withColumn("reliable", F.col("matched") | F.coalesce(back == ahead, F.lit(False)))
 
 
