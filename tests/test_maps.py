@@ -156,3 +156,34 @@ def test_a_copy_is_paired_whole(spark):
     got = align.anchored_diff(frame(spark, rows, "section long, side string, ord long, key long"), "section")
     same = align.anchored_diff(frame(spark, [(0, s, i, k) for s in ("old", "new") for i, k in enumerate(range(50))], "section long, side string, ord long, key long"), "section")
     assert got.count() and same.count() == 50 and set(got.columns) == set(same.columns)
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_replay_hands_python_only_what_breaks_the_order(spark, seed):
+    """Results are those of the rule for one section in memory; sizes and fixes, of most units, stay out of the chain."""
+    rng = random.Random(100 + seed)
+    old, new = random_units(rng, 300, 400)
+    o, n = frame(spark, old, "s long, ord long, size long"), frame(spark, new, "s long, ord long, off long, size long, src long")
+    part = {}
+    for r in maps.encode(o, n, S).collect():
+        part.setdefault(r.part, {})[r.ord] = r.value
+    kept = sorted({u[4] for u in new if u[4] is not None})
+    want = maps._sources(len(new), np.array(kept), np.array(sorted(part["insert"])), part["order"], len(old))
+    assert [-1 if u[4] is None else u[4] for u in new] == want.tolist()
+    rows = [(maps._CHAIN[p], k, v) for p in ("units", "drop", "insert", "order") for k, v in part.get(p, {}).items()] + [(maps._CHAIN["total"], 0, len(old))]
+    at, steps = maps._steps(*(np.array(c, dtype=np.int64) for c in zip(*rows, strict=True)))
+    assert at.tolist() == sorted(part["order"])
+    for k, step in zip(at.tolist(), steps.tolist(), strict=True):
+        assert kept[step + sum(u[4] is not None for u in new[:k])] == new[k][4]
+    with pytest.raises(ValueError, match="missing"):
+        maps._steps(np.array([0, 3, 4]), np.array([0, 1, 0]), np.array([2, 9, 2]))
+    plan = maps.replay(o, maps.encode(o, n, S), S)._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapCoGroups" not in plan
+
+
+def test_a_replayed_map_checks_itself(spark):
+    old = frame(spark, [(0, i, 8) for i in range(4)], "s long, ord long, size long")
+    for rows, why in (([("units", 0, 5)], "sources"), ([("units", 0, 2), ("size", 1, -9)], "size underflows"), ([("units", 0, 2), ("fix", 1, -40)], "layout underflows")):
+        coded = frame(spark, [(0, *r) for r in rows], "s long, part string, ord long, value long")
+        with pytest.raises(Exception, match=why):
+            maps.replay(old, coded, S).collect()

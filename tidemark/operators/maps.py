@@ -2,11 +2,14 @@
 
 Coding is relational: a unit is expected to come from the old unit that follows the last one's source among
 those that are used at all, so ranks of used units turn the expectation into a lag and a join. The replay
-depends on what came before only where an exception stands; between exceptions a section is filled by slices.
+depends on what came before only where an exception stands: a Python group sees a section's exceptions, inserts and
+drops; units, sizes and offsets are joins and prefix sums.
 """
 
 from __future__ import annotations
 
+import bisect
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -73,7 +76,7 @@ def encode(old: DataFrame, new: DataFrame, by: list[str]) -> DataFrame:
 
 
 def _sources(n: int, kept: np.ndarray, inserted: np.ndarray, order: dict[int, int], total: int) -> np.ndarray:
-    """The source of each of n new units, -1 for inserted ones."""
+    """The source of each of n new units, -1 for inserted ones: the rule for one section in memory."""
     src, at = np.full(n, -1), np.setdiff1d(np.arange(n), inserted)
     where = np.searchsorted(at, sorted(order))
     if order and (len(at) == 0 or (at[np.minimum(where, len(at) - 1)] != sorted(order)).any()):
@@ -96,7 +99,7 @@ def _fail(why: str):
 
 
 def _offsets(size: np.ndarray, a: int, fix: dict[int, int]) -> np.ndarray:
-    """Where units of these sizes lie: each at the aligned end of the one before, plus its fix."""
+    """Where units of these sizes lie: each at the aligned end of the one before, plus its fix; one section in memory."""
     n, off, end = len(size), np.zeros(len(size), dtype=np.int64), 0
     wide = -(-size // a) * a
     for b, e in zip([0, *sorted(f for f in fix if f)], [*sorted(f for f in fix if f), n], strict=True):
@@ -111,29 +114,68 @@ def _offsets(size: np.ndarray, a: int, fix: dict[int, int]) -> np.ndarray:
     return off
 
 
+_CHAIN = {"units": 0, "drop": 1, "insert": 2, "order": 3, "total": 4}
+
+
+def _steps(kind: np.ndarray, at: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(ord, step) of a section's order exceptions: from there on a unit's source is the kept old unit of rank step plus
+    the number of units with a source before it. Rows of the parts in _CHAIN."""
+
+    def part(name: str) -> tuple[np.ndarray, np.ndarray]:
+        own = np.flatnonzero(kind == _CHAIN[name])
+        own = own[np.argsort(at[own], kind="stable")]
+        return at[own], value[own]
+
+    order, by = part("order")
+    inserts, (starts, runs), n, total = part("insert")[0], part("drop"), value[kind == _CHAIN["units"]].sum(), int(value[kind == _CHAIN["total"]].sum())
+    place = np.searchsorted(inserts, order)
+    if len(order) and (order[-1] >= n or order[0] < 0 or np.isin(order, inserts).any()):
+        raise ValueError("an order exception names a unit without a source")
+    gone = np.concatenate([[0], np.cumsum(runs)])
+    kept, starts, ends, before, gone = total - int(gone[-1]), *(memoryview(np.ascontiguousarray(x, dtype=np.int64)) for x in (starts, starts + runs, starts - gone[:-1], gone))
+    steps, step = np.zeros(len(order), dtype=np.int64), 0
+    for k, (p, d) in enumerate(zip(memoryview(np.ascontiguousarray(order - place)), memoryview(np.ascontiguousarray(by)), strict=True)):
+        rank = step + p
+        want = (rank + gone[bisect.bisect_right(before, rank)] if rank < kept else total) + d
+        j = bisect.bisect_right(starts, want)
+        if not 0 <= want < total or (j and want < ends[j - 1]):
+            raise ValueError("an order exception names a missing old unit")
+        steps[k] = step = want - gone[j] - p
+    return order, steps
+
+
 def replay(old: DataFrame, coded: DataFrame, by: list[str]) -> DataFrame:
-    """(by.., ord, off, size, src) of the new units: the inverse of encode. A section's units are replayed together."""
+    """(by.., ord, off, size, src) of the new units: the inverse of encode. An aligned end is the sum of the aligned
+    (fix plus size) before it, so offsets are one prefix sum."""
     kinds = ", ".join(f"{c} {old.schema[c].dataType.simpleString()}" for c in by)
-
-    def section(o: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
-        given = {p: dict(zip(g.ord.tolist(), g.value.tolist(), strict=True)) for p, g in c.groupby("part")}
-        part = lambda name: given.get(name, {})
-        n, was = part("units").get(0, 0), o.sort_values("ord")["size"].to_numpy()
-        kept = np.ones(len(was), dtype=bool)
-        for at, run in part("drop").items():
-            kept[at : at + run] = False
-        src = _sources(n, np.flatnonzero(kept), np.array(sorted(part("insert")), dtype=np.int64), part("order"), len(was))
-        size = np.where(src >= 0, was[src] if len(was) else 0, 0).astype(np.int64)
-        for name in ("insert", "size"):
-            for at, v in part(name).items():
-                size[at] += v
-        if n and size.min() < 0:
-            raise ValueError("a size underflows")
-        out = pd.DataFrame({"ord": np.arange(n), "off": _offsets(size, part("align").get(0, 16), part("fix")), "size": size, "src": pd.array(src, dtype="Int64")})
-        out.loc[src < 0, "src"] = pd.NA
-        keys = (c if len(c) else o).iloc[0]
-        for k in reversed(by):
-            out.insert(0, k, keys[k])
-        return out
-
-    return old.groupBy(*by).cogroup(coded.groupBy(*by)).applyInPandas(section, f"{kinds}, ord long, off long, size long, src long")
+    kind = F.element_at(F.create_map(*[F.lit(x) for kv in _CHAIN.items() for x in kv]), F.col("part")).cast("byte")
+    chain = coded.where(F.col("part").isin(*_CHAIN)).select(*by, kind.alias("part"), "ord", "value")
+    totals = old.groupBy(*by).agg(F.count("*").alias("value")).select(*by, F.lit(_CHAIN["total"]).cast("byte").alias("part"), F.lit(0).cast("long").alias("ord"), "value")
+
+    def section(c: pd.DataFrame) -> pd.DataFrame:
+        at, steps = _steps(c["part"].to_numpy(), c["ord"].to_numpy(), c["value"].to_numpy())
+        return pd.DataFrame({**{k: np.repeat(c[k].to_numpy()[:1], len(at)) for k in by}, "part": "step", "ord": at, "value": steps})
+
+    steps = chain.unionAll(totals).groupBy(*by).applyInPandas(section, f"{kinds}, part string, ord long, value long")
+    units = coded.where("part = 'units' and value > 0").select(*by, F.explode(F.sequence(F.lit(0).cast("long"), F.col("value") - 1)).alias("ord"))
+    names = ("insert", "size", "fix", "step")
+    wide = coded.where(F.col("part").isin(*names)).unionByName(steps).groupBy(*by, "ord").agg(*[F.max(F.when(F.col("part") == n, F.col("value"))).alias(f"_{n}") for n in names])
+    align = coded.where("part = 'align'").select(*by, F.col("value").alias("_a"))
+    told = units.join(wide, [*by, "ord"], "left").join(F.broadcast(align), by, "left")
+    upto = Window.partitionBy(*by).orderBy("ord").rowsBetween(Window.unboundedPreceding, 0)
+    zero = F.lit(0).cast("long")
+    sourced = F.col("_insert").isNull()
+    rank = F.sum(sourced.cast("long")).over(upto) - 1 + F.coalesce(F.last("_step", ignorenulls=True).over(upto), zero)
+    told = told.withColumn("_rank", F.when(sourced, rank))
+    gone = coded.where("part = 'drop'").select(*by, F.explode(F.sequence("ord", F.col("ord") + F.col("value") - 1)).alias("ord"))
+    kept = old.select(*by, "ord", "size").join(gone, [*by, "ord"], "left_anti")
+    place = F.row_number().over(Window.partitionBy(*by).orderBy("ord")).cast("long") - 1
+    kept = kept.select(*by, place.alias("_rank"), F.col("ord").alias("src"), F.col("size").cast("long").alias("_was"))
+    told = told.join(kept, [*by, "_rank"], "left")
+    known = lambda ok, c, why: F.when(ok, c).otherwise(F.raise_error(F.lit(why)).cast("long"))
+    size = F.coalesce("_was", zero) + F.coalesce("_insert", zero) + F.coalesce("_size", zero)
+    told = told.withColumn("size", known(F.col("_insert").isNotNull() | F.col("src").isNotNull(), size, "more units than sources"))
+    fix = F.coalesce("_fix", zero)
+    end = up(fix + F.col("size"), F.coalesce("_a", F.lit(16).cast("long")))
+    told = told.withColumn("off", F.sum(end).over(upto) - end + fix)
+    return told.select(*by, "ord", known(F.col("off") >= 0, F.col("off"), "the layout underflows").alias("off"), known(F.col("size") >= 0, F.col("size"), "a size underflows").alias("size"), "src")
