@@ -232,3 +232,45 @@ def test_reliable_blocks_look_ahead_in_linear_time(spark):
         ahead = [r[2] for r in rows if r[0] == s and r[1] > i and r[3]]
         assert reliable == (matched or bool(back and ahead and back[-1] == ahead[0]))
     assert "unboundedfollowing" not in out._jdf.queryExecution().sparkPlan().toString().lower()
+
+
+def plain_shifts(old, new, many):
+    """Block by block."""
+    shift, out = 0, []
+    for i, b in enumerate(old):
+        got = [j for j, n in enumerate(new) if n == b]
+        near = min(got, key=lambda j: (abs(j - i - shift), j), default=None)
+        if len(got) >= many:
+            out.append([shift, False, True])
+        elif 0 <= i + shift < len(new) and new[i + shift] == b:
+            out.append([shift, True, False])
+        elif near is not None and i + 1 < len(old) and new[near + 1 : near + 2] == [old[i + 1]]:
+            shift = near - i
+            out.append([shift, True, False])
+        else:
+            out.append([shift, False, False])
+    i = before = 0
+    while i < len(out):
+        j = next((j for j in range(i, len(out)) if out[j][0] != out[i][0]), len(out))
+        if sum(o[1] for o in out[i:j]) < 2 and out[i][0] != before:
+            out[i:j] = [[before, False, o[2]] for o in out[i:j]]
+        before, i = out[i][0], j
+    for i, o in enumerate(out):
+        if o[2]:
+            o[0] = next((p[0] for p in out[i:] if p[1]), o[0])
+    return [tuple(o) for o in out]
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_block_shifts_of_sections_in_arrays(spark, seed):
+    rng = random.Random(seed)
+    base = {s: [rng.randrange((6, 40, 400)[s]) for _ in range(160)] for s in range(3)}
+    sides = {s: (b, [v for v in b[rng.randrange(9) :] if rng.random() < 0.93] + b[:5]) for s, b in base.items()}
+    rows = [(s, side, i, bytes([v // 256, v % 256])) for s, two in sides.items() for side, vs in zip(("old", "new"), two, strict=True) for i, v in enumerate(vs)]
+    rows += [(7, "old", 0, b"x"), (8, "new", 0, b"x")]
+    df = spark.createDataFrame(rows, "section long, side string, block long, bytes binary")
+    out = align.block_shift_islands(df, "section", width=1, many=20)
+    got = {(r.section, r.block): (r.delta, r.matched, r.ambiguous) for r in out.collect()}
+    want = {(s, i): t for s, (o, n) in sides.items() for i, t in enumerate(plain_shifts(o, n, 20))}
+    assert got == want | {(7, 0): (0, False, False)}
+    assert "FlatMapGroupsInPandas" not in out._jdf.queryExecution().optimizedPlan().toString()
