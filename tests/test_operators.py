@@ -274,3 +274,10 @@ def test_block_shifts_of_sections_in_arrays(spark, seed):
     want = {(s, i): t for s, (o, n) in sides.items() for i, t in enumerate(plain_shifts(o, n, 20))}
     assert got == want | {(7, 0): (0, False, False)}
     assert "FlatMapGroupsInPandas" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_enumerations_are_compared_without_joins(spark):
+    derived, true = (spark.createDataFrame([(v,) for v in vs], "v long") for vs in ((1, 2, 2, None), (2, 3, 3, None)))
+    out = match.enumeration_repair(derived, true)
+    assert rows(out, "v", "kind") == sorted([(1, "suppressed"), (3, "missing"), (None, "missing"), (None, "suppressed")], key=repr)
+    assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()

@@ -76,16 +76,21 @@ def monotone_pairs(pairs: DataFrame, by: list[str]) -> DataFrame:
 
 def enumeration_repair(derived: DataFrame, true: DataFrame) -> DataFrame:
     """(v, kind) that turn the derived set into the true one: ``missing`` values to add, ``suppressed`` to take out."""
-    missing = true.select("v").distinct().join(derived, "v", "left_anti").select("v", F.lit("missing").alias("kind"))
-    extra = derived.select("v").distinct().join(true, "v", "left_anti").select("v", F.lit("suppressed").alias("kind"))
-    return missing.unionAll(extra)
+    each = _sides(derived, true)
+    null = F.col("v").isNull()  # equals no value of the other side
+    kinds = F.array(F.when((F.col("t") == 1) & ((F.col("d") == 0) | null), "missing"), F.when((F.col("d") == 1) & ((F.col("t") == 0) | null), "suppressed"))
+    return each.select("v", F.explode(F.array_compact(kinds)).alias("kind"))
+
+
+def _sides(derived: DataFrame, true: DataFrame) -> DataFrame:
+    """(v, d, t): each value once, with 1 for the sets that hold it: one aggregate in place of joins, which sort both sides."""
+    sides = derived.select("v", F.lit(1).alias("d"), F.lit(0).alias("t")).unionAll(true.select("v", F.lit(0).alias("d"), F.lit(1).alias("t")))
+    return sides.groupBy("v").agg(F.max("d").alias("d"), F.max("t").alias("t"))
 
 
 def enumeration_coverage(derived: DataFrame, true: DataFrame) -> DataFrame:
     """(n_true, n_derived, n_both) of two sets."""
-    sides = derived.select("v", F.lit(1).alias("d"), F.lit(0).alias("t")).unionAll(true.select("v", F.lit(0).alias("d"), F.lit(1).alias("t")))
-    each = sides.groupBy("v").agg(F.max("d").alias("d"), F.max("t").alias("t"))
-    return each.agg(*[F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(n) for c, n in ((F.col("t"), "n_true"), (F.col("d"), "n_derived"), (F.col("d") * F.col("t"), "n_both"))])
+    return _sides(derived, true).agg(*[F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(n) for c, n in ((F.col("t"), "n_true"), (F.col("d"), "n_derived"), (F.col("d") * F.col("t"), "n_both"))])
 
 
 def capped_candidates(pairs: DataFrame, by: list[str], order: list[Column], k: int) -> DataFrame:
