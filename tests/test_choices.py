@@ -111,3 +111,14 @@ def test_strategies(spark):
         strategies.apply(other, strategies.encode(old, old, ["id"], registry), registry)
     with pytest.raises(ValueError, match="no strategy"):
         strategies.apply(old, strategies.encode(old, old, ["id"], registry), strategies.Registry(strategies.Changes()))
+
+
+def test_few_bytes_are_held_at_once(spark):
+    import pyarrow as pa
+
+    values = [b"a" * n for n in (5, 0, 3, 40, 1, 9, 2)] + [None]
+    cuts = list(chunks.held(pa.array(values, pa.binary()), 10))
+    assert [values[c] for c in cuts] == [values[:3], values[3:4], values[4:6], values[6:]]
+    rows = [(i, os.urandom(5) * (i % 400 * 100)) for i in range(900)]
+    back = spark.createDataFrame(rows, "id long, v binary").repartition(2).withColumn("f", chunks.smallest_form("v"))
+    assert back.where(chunks.restored("f.codec", "f.packed") == F.col("v")).count() == len(rows)

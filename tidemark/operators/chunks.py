@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import functools
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -78,21 +81,48 @@ def content_chunks(rows: DataFrame, average: int, by: list[str], data: str = "da
     return ends.select(*by, F.col("_i").cast("long").alias("chunk_no"), piece.alias("_p")).select(*by, "chunk_no", F.octet_length("_p").cast("long").alias("n"), F.sha2("_p", 256).alias("hash"))
 
 
+@functools.cache
+def _zstd() -> tuple:
+    """A compressor and a decompressor, one pair a worker: each holds tables of some megabytes."""
+    return zstandard.ZstdCompressor(level=9), zstandard.ZstdDecompressor()
+
+
 _FORMS = {
     "raw": (bytes, bytes),
-    "zstd": (lambda b: zstandard.ZstdCompressor(level=9).compress(b), lambda b: zstandard.ZstdDecompressor().decompress(b)),
+    "zstd": (lambda b: _zstd()[0].compress(b), lambda b: _zstd()[1].decompress(b)),
     "zlib": (lambda b: zlib.compress(b, 9), zlib.decompress),
 }
 
+#: Bytes of values that are objects in a worker at once; a longer value is alone.
+HELD = 1 << 20
+
+
+def held(values: pa.Array, most: int = HELD) -> Iterator[slice]:
+    """Cuts of a binary array into stretches of at most so many bytes, or of one value."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(values), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < len(values):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right")))
+        yield slice(at, to)
+        at = to
+
+
+_FORM = pa.struct([("codec", pa.string()), ("packed", pa.binary())])
+
 
-@F.pandas_udf(StructType().add("codec", StringType()).add("packed", BinaryType()))
-def smallest_form(values: pd.Series) -> pd.DataFrame:
+@F.arrow_udf(StructType().add("codec", StringType()).add("packed", BinaryType()))
+def smallest_form(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
     """Each value in the smallest of its raw, zstd and zlib forms, the first of them on a tie; null of null."""
-    best = [(None, None) if v is None else min(((n, pack(bytes(v))) for n, (pack, _) in _FORMS.items()), key=lambda f: len(f[1])) for v in values]
-    return pd.DataFrame(best, columns=["codec", "packed"])
+    for values in batches:
+        for cut in held(values):
+            best = [(None, None) if v is None else min(((n, pack(v)) for n, (pack, _) in _FORMS.items()), key=lambda f: len(f[1])) for v in values[cut].to_pylist()]
+            codecs, packed = zip(*best, strict=True)
+            yield pa.StructArray.from_arrays([pa.array(codecs, pa.string()), pa.array(packed, pa.binary())], fields=list(_FORM))
 
 
-@F.pandas_udf(BinaryType())
-def restored(codecs: pd.Series, packed: pd.Series) -> pd.Series:
+@F.arrow_udf(BinaryType())
+def restored(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
     """The values of ``smallest_form`` again; an unknown codec is an error."""
-    return pd.Series([None if c is None else _FORMS[c][1](bytes(p)) for c, p in zip(codecs, packed, strict=True)], dtype=object)
+    for codecs, packed in batches:
+        for cut in held(packed):
+            yield pa.array([None if c is None else _FORMS[c][1](p) for c, p in zip(codecs[cut].to_pylist(), packed[cut].to_pylist(), strict=True)], pa.binary())
