@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -281,3 +282,53 @@ def test_enumerations_are_compared_without_joins(spark):
     out = match.enumeration_repair(derived, true)
     assert rows(out, "v", "kind") == sorted([(1, "suppressed"), (3, "missing"), (None, "missing"), (None, "suppressed")], key=repr)
     assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def plain_runs(src, dst, least, drop, recent):
+    """Place by place, byte by byte."""
+    k, at, delta, out = max(8, min(16, least)), 0, 0, []
+    while at + k <= len(dst):
+        best = (0, 0, 0, 0)
+        for s in [at - delta, *[i for i in range(len(src) - k + 1) if src[i : i + k] == dst[at : at + k]][-recent:]]:
+            score = top = n = 0
+            for m in range(min(len(src) - s, len(dst) - at) if 0 <= s < len(src) else 0):
+                score += 2 if src[s + m] == dst[at + m] else -3
+                if score > top:
+                    top, n = score, m + 1
+                elif score < top - drop:
+                    break
+            if n >= least:
+                best = max(best, (top, -abs(at - delta - s), s, n))
+        if not best[0]:
+            at += 1
+            continue
+        s, n = best[2:]
+        if out and out[-1][1] + out[-1][2] == at and out[-1][0] + out[-1][2] == s:
+            out[-1] = (*out[-1][:2], out[-1][2] + n)
+        else:
+            out.append((s, at, n))
+        delta, at = at - s, at + n
+    return out
+
+
+def test_fuzzy_runs_pass_over_what_holds_none(monkeypatch):
+    rng = random.Random(8)
+    tried = 0
+    for turn in range(60):
+        letters = bytes(range(97, 97 + rng.choice([1, 2, 4, 26])))
+        src = bytes(rng.choices(letters, k=rng.randrange(500)))
+        cut = [src[a : a + rng.randrange(90)] for a in (rng.randrange(len(src) + 1) for _ in range(6))]
+        dst = bytearray(b"".join(c + bytes(rng.choices(letters, k=rng.randrange(20))) for c in cut))
+        for _ in range(len(dst) // 12):
+            dst[rng.randrange(len(dst))] = rng.choice(letters)
+        rules = (rng.choice([4, 8, 12, 16, 30, 70]), rng.choice([2, 8, 32]), rng.choice([1, 3, 32]))
+        got = align.fuzzy_runs(src, bytes(dst), *rules)
+        assert got == plain_runs(src, bytes(dst), *rules)
+        if turn % 2:  # mixes that collide change nothing
+            with monkeypatch.context() as m:
+                m.setattr(align, "_seeds", lambda data, k, f=align._seeds: f(data, k) % 7)
+                assert align.fuzzy_runs(src, bytes(dst), *rules) == got
+        tried += len(got)
+    assert tried > 100
+    far = align._may_run(np.frombuffer(rng.randbytes(50_000), dtype=np.uint8), np.frombuffer(rng.randbytes(50_000), dtype=np.uint8), 0, 0, 49_000, 16, 32)
+    assert len(far) < 50
