@@ -332,3 +332,11 @@ def test_fuzzy_runs_pass_over_what_holds_none(monkeypatch):
     assert tried > 100
     far = align._may_run(np.frombuffer(rng.randbytes(50_000), dtype=np.uint8), np.frombuffer(rng.randbytes(50_000), dtype=np.uint8), 0, 0, 49_000, 16, 32)
     assert len(far) < 50
+
+
+def test_touched_rows_are_known_without_another_join(spark):
+    old = spark.createDataFrame([(1, "a"), (2, None), (3, "c")], "id long, v string")
+    new = spark.createDataFrame([(2, "b"), (3, "c"), (4, None)], "id long, v string")
+    seen = versions.changes(old, new, ["id"])
+    assert rows(seen) == [("delete", 1, None, True), ("put", 2, "b", True), ("put", 4, None, False)]
+    assert seen.where("_known")._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1

@@ -56,9 +56,8 @@ class Appended:
     id, name = 2, "appended"
 
     def analyse(self, old, new, keys):
-        changes = versions.diff(old, new, keys)
-        touched = changes.join(old.select(*keys), keys, "left_semi")
-        return None if touched.limit(1).count() else changes.drop("op").select(*new.columns)
+        changes = versions.changes(old, new, keys)
+        return None if changes.where("_known").limit(1).count() else changes.select(*new.columns)
 
     def materialise(self, old, plan, keys):
         return old.select(*plan.columns).unionByName(plan)
