@@ -147,6 +147,40 @@ def test_prices_are_those_of_each_class_alone(spark):
         assert got[c] == (len(own), len(press.compress(own.tobytes()) + press.flush()))
 
 
+def alone(values):
+    import zstandard
+
+    press = zstandard.ZstdCompressor(level=3).compressobj()
+    return len(values), len(press.compress(np.array(values, dtype=np.int64).tobytes()) + press.flush())
+
+
+def test_prices_do_not_depend_on_arrival(spark):
+    """Rows of one ord go by value, rows without a class are a class, and ranges of some rows price as one."""
+    rng = random.Random(9)
+    rows = [(rng.choice([None, 1, 2, 3, 4]), rng.choice(["a", "b", "b", "b", None]), rng.randrange(1 << 40)) for _ in range(3000)]
+    want = {c: alone([v for o, v in sorted((o or 0, v) for o, k, v in rows if k == c)]) for c in ("a", "b", None)}
+    for given, most in ((rows, 1 << 19), (rows[::-1], 256)):
+        got = predict.marginal_price(frame(spark, given, "ord long, c string, v long"), "c", "v", most=most)
+        assert got.columns == ["c", "n", "bytes"] and {r.c: (r.n, r.bytes) for r in got.collect()} == want
+    assert predict.marginal_price(frame(spark, [], "ord long, c string, v long"), "c", "v").count() == 0
+    with pytest.raises(Exception, match="null"):
+        predict.marginal_price(frame(spark, [(0, "a", None)], "ord long, c string, v long"), "c", "v").collect()
+
+
+def test_no_task_sorts_a_class(spark):
+    """Ranges of one class's rows stay small, and those of rows equal in everything too."""
+    rows = [(i, "a", i % 7) for i in range(2000)] + [(5, "b", 5)] * 2000
+    packs = predict.class_packs(frame(spark, rows, "ord long, c string, v long").repartition(3), "c", "v", most=200).collect()
+    held = {}
+    for p in packs:
+        held[p.place >> 33] = held.get(p.place >> 33, 0) + p.n
+    assert sum(held.values()) == 4000 and max(held.values()) <= 600
+    given = frame(spark, rows, "ord long, c string, v long")
+    assert [predict.class_packs(given, "c", "v", most).rdd.getNumPartitions() for most in (4000, 40, 10, 1)] == [1, 100, 200, 1000]
+    got = predict.marginal_price(given, "c", "v", most=200).collect()
+    assert {r.c: (r.n, r.bytes) for r in got} == {"a": alone([i % 7 for i in range(2000)]), "b": alone([5] * 2000)}
+
+
 def test_a_copy_is_paired_whole(spark):
     """Every row of a side that is a copy of the other has its pair; a thinned copy with repeated keys has some."""
     rng = random.Random(4)

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -112,22 +115,69 @@ def disjoint_runs(runs: DataFrame, by: str) -> DataFrame:
     return runs.select(by, "src", "dst", "n").groupBy(by).applyInPandas(sweep, f"{by} {runs.schema[by].dataType.simpleString()}, src long, dst long, n long")
 
 
-def marginal_price(rows: DataFrame, by: str, value: str, level: int = 3) -> DataFrame:
-    """(by, n, bytes): what each class's values cost compressed together (zstd); classes are compressed in parallel,
-    and one class's values stream through its compressor in order of ``ord``."""
-    import zstandard
-
-    def price(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        state: dict = {}
-        for pdf in batches:
-            for name, own in pdf.groupby(by, sort=False):
-                n, size, press = state.get(name) or (0, 0, zstandard.ZstdCompressor(level=level).compressobj())
-                size += len(press.compress(own[value].astype("int64").to_numpy().tobytes()))
-                state[name] = n + len(own), size, press
-        yield pd.DataFrame([(name, n, size + len(press.flush())) for name, (n, size, press) in state.items()], columns=[by, "n", "bytes"])
-
-    spread = rows.repartition(F.col(by)).sortWithinPartitions(by, "ord")
-    return spread.select(by, value).mapInPandas(price, f"{by} {rows.schema[by].dataType.simpleString()}, n long, bytes long")
+#: Rows that one task of ``class_packs`` sorts, by estimate, and values of one pack.
+SORTED, PACKED = 1 << 19, 1 << 16
+#: Partitions up to which Spark writes a shuffle without sorting; past it a task holds its whole input split.
+BYPASS = 200
+
+
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A range of (class, value) in order to (class, n, packed), in order within each class."""
+    press, keys, values = zstandard.ZstdCompressor(level=1), [], []
+    for batch in batches:
+        keys.append(batch.column(0).dictionary_encode())
+        values.append(np.array(batch.column(1).to_numpy()))  # an error of null values
+    if not keys:
+        return
+    known = pa.chunked_array(keys).unify_dictionaries().combine_chunks()
+    ids = known.indices.fill_null(-1).to_numpy()
+    order = np.argsort(ids, kind="stable")
+    ids, own = ids[order], np.concatenate(values)[order]
+    ends = [*np.flatnonzero(np.diff(ids)).tolist(), len(ids) - 1]
+    cuts = [(k, min(k + PACKED, j + 1)) for i, j in itertools.pairwise([-1, *ends]) for k in range(i + 1, j + 1, PACKED)]
+    name = known.dictionary.take(pa.array([int(ids[i]) if ids[i] >= 0 else None for i, _ in cuts], pa.int64()))
+    packed = [press.compress(own[i:j].tobytes()) for i, j in cuts]
+    yield pa.RecordBatch.from_arrays([name, pa.array([j - i for i, j in cuts], pa.int64()), pa.array(packed, pa.binary())], names=["by", "n", "packed"])
+
+
+def _price(batches: Iterator[pa.RecordBatch], level: int) -> Iterator[pa.RecordBatch]:
+    """Packs in order of class and place to (class, n, bytes); one compressor is alive at a time."""
+    unpack, names, key, n, size, press = zstandard.ZstdDecompressor(), ["by", "n", "bytes"], None, 0, 0, None
+    for batch in batches:
+        keys, counts, packs = batch.columns
+        done, kind = [], keys.type
+        for i in range(len(batch)):
+            name = keys[i].as_py()
+            if press is None or name != key:
+                if press is not None:
+                    done.append((key, n, size + len(press.flush())))
+                key, n, size, press = name, 0, 0, zstandard.ZstdCompressor(level=level).compressobj()
+            n, size = n + counts[i].as_py(), size + len(press.compress(unpack.decompress(packs[i].as_buffer())))
+        if done:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*done, strict=True), (kind, pa.int64(), pa.int64()), strict=True)], names=names)
+    if press is not None:
+        yield pa.RecordBatch.from_arrays([pa.array([key], kind), pa.array([n], pa.int64()), pa.array([size + len(press.flush())], pa.int64())], names=names)
+
+
+def class_packs(rows: DataFrame, by: str, value: str, most: int = SORTED) -> DataFrame:
+    """(by, n, packed, place): each class's values in order of ``ord``, then value, in packs in order of place. The sort
+    is by ranges of about ``most`` rows over all classes, four times as many in large tables: no task sorts a class's rows."""
+    kind, n = rows.schema[by].dataType.simpleString(), rows.count()
+    ranges = max(1, min(BYPASS, -(-n // most)), -(-n // (4 * most)))
+    # Rows equal in class, ord and value are interchangeable: their place in the input spreads them over ranges.
+    spread = (F.monotonically_increasing_id() % 1024).cast("short")
+    plain = rows.select(F.col(by).alias("by"), "ord", F.col(value).cast("long").alias("v"), spread.alias("_i"))
+    ordered = plain.repartitionByRange(ranges, "by", "ord", "v", "_i").sortWithinPartitions("ord", "v").select("by", "v")
+    return ordered.mapInArrow(_pack, f"by {kind}, n long, packed binary").withColumn("place", F.monotonically_increasing_id())
+
+
+def marginal_price(rows: DataFrame, by: str, value: str, level: int = 3, most: int = SORTED) -> DataFrame:
+    """(by, n, bytes): what each class's values cost compressed together (zstd) in order of ``ord``, then value; null
+    is a class, a null value is an error. Classes are compressed in parallel, and one class's packs stream through its
+    compressor."""
+    packs = class_packs(rows, by, value, most)
+    streamed = packs.repartition(F.col("by")).sortWithinPartitions("by", "place").drop("place")
+    return streamed.mapInArrow(lambda batches: _price(batches, level), f"by {rows.schema[by].dataType.simpleString()}, n long, bytes long").withColumnRenamed("by", by)
 
 
 def drop_overlaps(bodies: DataFrame, section: str) -> DataFrame:
